@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module of this folder with a function of that name.
 MODULES = {
+    "op3_pii": "pii",
     "op4_sharding": "sharding",
+    "op6_tokens": "tokenfiles",
     "op8_minhash": "minhash",
     "op10_mixing": "mixing",
 }
