@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op3_pii": "pii",
     "op4_sharding": "sharding",
+    "op5_decontam": "decontam",
     "op6_tokens": "tokenfiles",
     "op8_minhash": "minhash",
     "op10_mixing": "mixing",
