@@ -6,11 +6,13 @@ from importlib import import_module
 
 #: Query name -> module of this folder with a function of that name.
 MODULES = {
+    "op2_toxicity": "toxicity",
     "op3_pii": "pii",
     "op4_sharding": "sharding",
     "op5_decontam": "decontam",
     "op6_tokens": "tokenfiles",
     "op8_minhash": "minhash",
+    "op9_licences": "licences",
     "op10_mixing": "mixing",
 }
 
