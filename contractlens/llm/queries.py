@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this folder with a function of that name.
 MODULES = {
+    "op1_vectors": "vectors",
     "op2_toxicity": "toxicity",
     "op3_pii": "pii",
     "op4_sharding": "sharding",
