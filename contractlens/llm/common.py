@@ -80,15 +80,19 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, one_task: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, comp) with comp the smallest node.
 
-    Union-find inside each partition first, then alternating large-star and small-star rounds over written tables until nothing
+    Up to one_task edges after that are joined by one union-find; beyond, they never meet in one place. Union-find inside each partition first, then alternating large-star and small-star rounds over written tables until nothing
     changes. The per-node minimum is a partial aggregation and the join on a hot node can be split, so no group meets in one task.
     """
     cur = written(edges.where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), name)
     total = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     state = total(cur)
+    if 0 < state[0] <= one_task:
+        new = written(cur.coalesce(1).mapInArrow(_forest, "u long, v long"), name)
+        drop(cur)
+        cur, state = new, (0,)
     while state[0]:
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import components, drop, small, table, written
 
-WORDS, SLOTS, ROWS = 5, 160, 4
+WORDS, SLOTS, ROWS = 5, 250, 5
+#: Two sets at the threshold or more differ in a quarter of the slots at most, so in an eighth of the one-bit sketches; a pair that
+#: differs in more than this share is below it but for a chance of about 1e-7.
+SKETCH_SHARE = 0.24
 #: Fixed odd constants of the 64-bit mixing function.
 GOLD, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -103,6 +106,15 @@ def bands(sig, rows: int = ROWS):
     return mix(acc)
 
 
+def sketches(sig):
+    """One bit of each slot, packed into whole longs."""
+    import numpy as np
+
+    bit = (mix(sig.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    packed = np.packbits(np.pad(bit, ((0, 0), (0, -bit.shape[1] % 64))), axis=1)
+    return packed.view(np.int64)
+
+
 def _sign(batches, slots, rows, k):
     import numpy as np
     import pyarrow as pa
@@ -111,7 +123,9 @@ def _sign(batches, slots, rows, k):
 
     def flush(ids, sets):
         full = [i for i, s in enumerate(sets) if len(s)]
-        got = dict(zip(full, bands(signatures([sets[i] for i in full], slots), rows).view(np.int64), strict=True)) if full else {}
+        sig = signatures([sets[i] for i in full], slots) if full else None
+        got = dict(zip(full, bands(sig, rows).view(np.int64), strict=True)) if full else {}
+        bits = dict(zip(full, sketches(sig), strict=True)) if full else {}
         digest = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s)))) if len(s) else (None, None) for s in sets]
         signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
         return pa.RecordBatch.from_arrays(
@@ -121,8 +135,9 @@ def _sign(batches, slots, rows, k):
                 pa.array([signed(d[0]) for d in digest], pa.int64()),
                 pa.array([signed(d[1]) for d in digest], pa.int64()),
                 pa.array([got.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
+                pa.array([bits.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "d1", "d2", "bands"],
+            ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
         )
 
     for b in batches:
@@ -182,13 +197,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal shingle sets become one class (min id). Each bucket of a band first compares its members with its smallest
     one; what that links is grouped, and only members of buckets that still hold several groups are compared across groups, all of
-    them. With 40 bands of 4 slots a pair at 0.75 meets in some band with probability 1 - 3e-7.
+    them whose lengths and one-bit sketches allow the threshold. With 50 bands of 5 slots a pair at 0.75 meets in some band with
+    probability 1 - 2e-6.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(src.mapInArrow(partial(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "mh-sig")
+    sig = written(src.mapInArrow(partial(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"), "mh-sig")
     real = sig.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = written(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "d1", "d2"), "mh-reps")
+    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = written(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "d1", "d2", "sketch"), "mh-reps")
     banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("rep").alias("pivot"), F.count("*").alias("c"), F.max("rep").alias("top")).where("pivot < top").select("band", "h", "pivot")
     members = written(banded.join(buckets, ["band", "h"]), "mh-members")
@@ -199,10 +215,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = written(components(first, "mh-cc"), "mh-comp")
     marked = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = marked.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("pc")).where("lo < hi").select("band", "h", "pc")
-    left = written(marked.join(mixed, ["band", "h"]), "mh-left")
-    s = left.where("comp <> pc").select("band", "h", F.col("rep").alias("s"), F.col("comp").alias("cs"), F.col("n").alias("ns"), "pivot")
-    m = left.select("band", "h", F.col("rep").alias("m"), F.col("comp").alias("cm"), F.col("n").alias("nm"), "pc")
-    cross = s.join(m, ["band", "h"]).where((F.col("cs") != F.col("cm")) & (F.col("m") != F.col("pivot")) & ((F.col("cm") == F.col("pc")) | (F.col("s") < F.col("m"))) & size(F.col("ns"), F.col("nm")))
+    longs = -(-slots // 64)
+    bits = reps.select("rep", *[F.element_at("sketch", i + 1).alias(f"b{i}") for i in range(longs)])
+    left = written(marked.join(mixed, ["band", "h"]).join(bits, "rep"), "mh-left")
+    s = left.where("comp <> pc").select("band", "h", F.col("rep").alias("s"), F.col("comp").alias("cs"), F.col("n").alias("ns"), "pivot", *[F.col(f"b{i}").alias(f"s{i}") for i in range(longs)])
+    m = left.select("band", "h", F.col("rep").alias("m"), F.col("comp").alias("cm"), F.col("n").alias("nm"), "pc", *[F.col(f"b{i}").alias(f"m{i}") for i in range(longs)])
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(longs)), F.lit(0))
+    cross = s.join(m, ["band", "h"]).where((F.col("cs") != F.col("cm")) & (F.col("m") != F.col("pivot")) & ((F.col("cm") == F.col("pc")) | (F.col("s") < F.col("m"))) & size(F.col("ns"), F.col("nm")) & (apart <= int(slots * SKETCH_SHARE)))
     rest = written(cross.select(F.least("s", "m").alias("u"), F.greatest("s", "m").alias("v")).distinct(), "mh-rest")
     links = first
     second = None

@@ -12,6 +12,7 @@ MODULES = {
     "op4_sharding": "sharding",
     "op5_decontam": "decontam",
     "op6_tokens": "tokenfiles",
+    "op7_substrings": "substrings",
     "op8_minhash": "minhash",
     "op9_licences": "licences",
     "op10_mixing": "mixing",
