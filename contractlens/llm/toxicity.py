@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 12_000, 400, 3, 1, 0.7
+TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 5_000, 400, 3, 1, 0.7
 STEMS = (4, 5, 6)
 #: A lexicon voter's words, common English insults.
 LEXICON = frozenset("idiot stupid moron loser scum trash pathetic worthless disgusting clown dumb fool garbage ugly jerk filthy".split())
