@@ -24,32 +24,66 @@ LENGTH, BATCH, END = 2048, 256, 2
 VOCABULARY = "word_bpe_49k.json"
 #: White space at which no token, merge or normalization reaches across.
 GAPS = re.compile(r"[ \t\n\r]+")
+#: Pieces made of Latin-1 letters and a run of marks: the tokenizer cuts between the two and lower-cases letters one by one.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+KNOWN = 1_000_000
 
 
 class Encoder:
     """Ids of whole texts by way of the pieces between white space, each encoded once by the tokenizers library."""
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.known: dict[str, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)  # ids that end a word
+        for piece, i in pieces.items():
+            self.ends[i] = piece.endswith("</w>")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode runs of letters, many at a time: each is one word of the tokenizer, so it ends where an end-of-word id stands."""
+        import numpy as np
+
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some):
+                raw, size = ids.tobytes(), ids.itemsize
+                stop = (cut * size).tolist()
+                self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *stop], stop, strict=False)), strict=True))
+            else:
+                self._encode(some)
+
+    def _encode(self, texts: list[str]) -> None:
+        import numpy as np
+
+        for p, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, self.kind).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as the bytes of an array of self.kind."""
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > KNOWN:
             known.clear()
-        parts = [[p for p in GAPS.split(t) if p] for t in texts]
-        if new := [p for p in {p for ps in parts for p in ps} if p not in known]:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = tuple(e.ids)
-        out = []
-        for ps in parts:
-            ids: list[int] = []
-            for p in ps:
-                ids += known[p]
-            out.append(ids)
-        return out
+        parts = [GAPS.split(t) for t in texts]
+        new = {p: m.groups() if (m := SIMPLE.fullmatch(p)) else None for p in set().union(*parts) - known.keys()}
+        letters = {m[0].lower() for m in new.values() if m}
+        others = {m[1] for m in new.values() if m} | {p for p, m in new.items() if not m}
+        self._learn(list(letters - known.keys()))
+        self._encode(list(others - known.keys()))
+        for p, m in new.items():
+            if m:
+                known[p] = known[m[0].lower()] + known[m[1]]
+        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+
+
+#: Encoders of this process by path, so that the tasks of one worker share what they have learned.
+ENCODERS: dict[str, Encoder] = {}
 
 
 def _open(path: str, mode: str):
@@ -70,8 +104,10 @@ def _write(batches, folder, vocabulary, length, end):
     from pyspark import TaskContext
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encode = Encoder(vocabulary)
-    kind = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    if vocabulary not in ENCODERS:
+        ENCODERS[vocabulary] = Encoder(vocabulary)
+    encode = ENCODERS[vocabulary]
+    kind, last = encode.kind, np.array([end], encode.kind).tobytes()
     part = TaskContext.get().partitionId()
     name = f"{folder}/{part:06d}-{uuid.uuid4().hex}"
     ids_type, mask_type = pa.list_(pa.from_numpy_dtype(kind), length), pa.list_(pa.bool_(), length)
@@ -92,14 +128,9 @@ def _write(batches, folder, vocabulary, length, end):
         for i in range(0, b.num_rows, 512):
             cut = b.slice(i, 512)
             lists = encode([t or "" for t in cut.column(1).to_pylist()])
-            counts = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
-            flat = np.empty(int(counts.sum()), kind)
+            flat = np.frombuffer(b"".join(x for doc in lists for x in (doc, last)), kind)
+            counts = np.fromiter((len(x) // kind().itemsize + 1 for x in lists), np.int64, len(lists))
             first = total + np.cumsum(counts) - counts
-            at = 0
-            for x in lists:
-                flat[at : at + len(x)] = x
-                at += len(x) + 1
-                flat[at - 1] = end
             files[2].write_batch(pa.record_batch([cut.column(0).cast(pa.int64()), pa.array(first), pa.array(counts)], schema=index))
             total += len(flat)
             rest = np.concatenate([rest, flat])
@@ -123,7 +154,7 @@ def _write(batches, folder, vocabulary, length, end):
 def write(docs: DataFrame, folder: str, vocabulary: str, partitions: int, length: int = LENGTH, end: int = END) -> list[tuple[int, str, int]]:
     """Write the files; returns (part, name, number of ids) of each, one short row a file, in order."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = src.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = src.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     done = ordered.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, length=length, end=end), "part long, name string, n_ids long")
     return sorted(tuple(r) for r in done.collect())
 
