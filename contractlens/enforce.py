@@ -1,6 +1,6 @@
 """Enforcement: check a frame against its contract, write it only if it passes, infer drafts, report events.
 
-guard() wraps writes of any session. install() builds a session whose analyzer refuses violating writes by itself, streaming included.
+guard() wraps writes of any session; session.guarded_session() builds one whose analyzer refuses violating writes by itself.
 """
 
 from __future__ import annotations

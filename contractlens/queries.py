@@ -302,9 +302,9 @@ def except_keys(spark, d):
     return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(t(spark, d, "orders").select("o_custkey")).distinct()
 
 
-@query("SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INT AS pos, round(unnest(embedding)::DOUBLE, 5) AS x FROM embeddings")
+@query("SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INT AS pos, round(unnest(embedding)::DOUBLE, 5) + 0 AS x FROM embeddings")
 def explode_array(spark, d):
-    return t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
+    return t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 75 THEN 'high' ELSE 'low' END AS tier FROM events")
