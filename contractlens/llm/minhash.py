@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import components, drop, small, table, written
 
 WORDS, SLOTS, ROWS = 5, 250, 5
-#: Two sets at the threshold or more differ in a quarter of the slots at most, so in an eighth of the one-bit sketches; a pair that
-#: differs in more than this share is below it but for a chance of about 1e-7.
-SKETCH_SHARE = 0.24
+#: Two sets at the threshold or more differ in a quarter of the slots at most, so in 15/64 of the four-bit sketches; a pair that differs in
+#: more than this share, five standard deviations above, is below it but for a chance of about 3e-7.
+SKETCH_SHARE, PER_LONG = 0.37, 16
+#: Bits of the parity vector of a set. Where two of them differ, the sets differ: an exact bound on how many shingles only one has.
+PARITY = 1024
 #: Fixed odd constants of the 64-bit mixing function.
 GOLD, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -107,12 +109,28 @@ def bands(sig, rows: int = ROWS):
 
 
 def sketches(sig):
-    """One bit of each slot, packed into whole longs."""
+    """Four bits of each slot, sixteen slots to a long."""
     import numpy as np
 
-    bit = (mix(sig.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    packed = np.packbits(np.pad(bit, ((0, 0), (0, -bit.shape[1] % 64))), axis=1)
-    return packed.view(np.int64)
+    bits = mix(sig.view(np.uint64)) & np.uint64(15)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % PER_LONG))).reshape(len(bits), -1, PER_LONG)
+    return (bits << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def parity(hashes):
+    """For each of PARITY cells, whether an odd number of a set's hashes falls there."""
+    import numpy as np
+
+    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def slots_apart(a, b):
+    """Column: how many of the sixteen slots of two longs differ."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
 def _sign(batches, slots, rows, k):
@@ -135,7 +153,7 @@ def _sign(batches, slots, rows, k):
                 pa.array([signed(d[0]) for d in digest], pa.int64()),
                 pa.array([signed(d[1]) for d in digest], pa.int64()),
                 pa.array([got.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
-                pa.array([bits.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
+                pa.array([np.concatenate([bits[i], parity(sets[i])]) if i in bits else None for i in range(len(sets))], pa.list_(pa.int64())),
             ],
             ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
         )
@@ -197,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal shingle sets become one class (min id). Each bucket of a band first compares its members with its smallest
     one; what that links is grouped, and only members of buckets that still hold several groups are compared across groups, all of
-    them whose lengths and one-bit sketches allow the threshold. With 50 bands of 5 slots a pair at 0.75 meets in some band with
+    them whose lengths, parity vectors (both exact bounds) and sketches allow the threshold. With 50 bands of 5 slots a pair at 0.75 meets in some band with
     probability 1 - 2e-6.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -215,13 +233,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = written(components(first, "mh-cc"), "mh-comp")
     marked = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = marked.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("pc")).where("lo < hi").select("band", "h", "pc")
-    longs = -(-slots // 64)
-    bits = reps.select("rep", *[F.element_at("sketch", i + 1).alias(f"b{i}") for i in range(longs)])
+    longs = -(-slots // PER_LONG)
+    every = longs + PARITY // 64
+    bits = reps.select("rep", *[F.element_at("sketch", i + 1).alias(f"b{i}") for i in range(every)])
     left = written(marked.join(mixed, ["band", "h"]).join(bits, "rep"), "mh-left")
-    s = left.where("comp <> pc").select("band", "h", F.col("rep").alias("s"), F.col("comp").alias("cs"), F.col("n").alias("ns"), "pivot", *[F.col(f"b{i}").alias(f"s{i}") for i in range(longs)])
-    m = left.select("band", "h", F.col("rep").alias("m"), F.col("comp").alias("cm"), F.col("n").alias("nm"), "pc", *[F.col(f"b{i}").alias(f"m{i}") for i in range(longs)])
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(longs)), F.lit(0))
-    cross = s.join(m, ["band", "h"]).where((F.col("cs") != F.col("cm")) & (F.col("m") != F.col("pivot")) & ((F.col("cm") == F.col("pc")) | (F.col("s") < F.col("m"))) & size(F.col("ns"), F.col("nm")) & (apart <= int(slots * SKETCH_SHARE)))
+    s = left.where("comp <> pc").select("band", "h", F.col("rep").alias("s"), F.col("comp").alias("cs"), F.col("n").alias("ns"), "pivot", *[F.col(f"b{i}").alias(f"s{i}") for i in range(every)])
+    m = left.select("band", "h", F.col("rep").alias("m"), F.col("comp").alias("cm"), F.col("n").alias("nm"), "pc", *[F.col(f"b{i}").alias(f"m{i}") for i in range(every)])
+    apart = sum((slots_apart(F.col(f"s{i}"), F.col(f"m{i}")) for i in range(longs)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(longs, every)), F.lit(0))
+    # 100 both >= percent union, with both = (n - d) / 2 and union = (n + d) / 2 for n = |a| + |b| and d = |a ^ b|
+    near = differ * (100 + percent) <= (F.col("ns") + F.col("nm")) * (100 - percent)
+    cross = s.join(m, ["band", "h"]).where((F.col("cs") != F.col("cm")) & (F.col("m") != F.col("pivot")) & ((F.col("cm") == F.col("pc")) | (F.col("s") < F.col("m"))) & size(F.col("ns"), F.col("nm")) & near & (apart <= int(slots * SKETCH_SHARE)))
     rest = written(cross.select(F.least("s", "m").alias("u"), F.greatest("s", "m").alias("v")).distinct(), "mh-rest")
     links = first
     second = None
