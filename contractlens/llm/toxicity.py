@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are words and word beginnings (of 4, 5 and 6 letters) that the training rows tie to either label, and patterns (shouting, runs
+Voters are words and word beginnings (of 3 to 8 letters) that the training rows tie to either label, and patterns (shouting, runs
 of exclamation marks, links). The label model estimates each voter's hit rates under both classes by expectation maximization, with the
 given labels as one more voter of estimated accuracy, and discounts voters by their correlation within a class. A logistic regression on
 the votes is fitted to the posteriors. Training takes at most TRAIN_ROWS labelled rows, chosen by hash, whose held-out remainder is not
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 5_000, 400, 3, 1, 0.7
-STEMS = (4, 5, 6)
+TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 4_000, 400, 3, 1, 0.7
+STEMS = (3, 4, 5, 6, 7, 8)
 #: A lexicon voter's words, common English insults.
 LEXICON = frozenset("idiot stupid moron loser scum trash pathetic worthless disgusting clown dumb fool garbage ugly jerk filthy".split())
 WORD = re.compile(r"[^\W\d_]+")
@@ -77,7 +77,7 @@ def label_model(votes, labels, rounds: int = 20):
     return p, r0, r1, weight
 
 
-def fit_linear(votes, target, ridge: float = 0.1, rounds: int = 25):
+def fit_linear(votes, target, ridge: float = 0.02, rounds: int = 25):
     """Ridge logistic regression on soft labels by Newton steps; returns weights with the bias last."""
     import numpy as np
 
