@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from . import checks, contract
 from .contract import Constraint, Field
-from .enforce import findings, infer
+from .enforce import findings, guarded_batches, infer
 from .operators import quality
 from .plans.analysis import fingerprint, lineage, properties, sensitivity
 from .plans.catalyst import translate
 from .queries import t
+from .streaming.drain import drain, folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -277,36 +276,21 @@ def _stream(spark, d):
     return spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drain(spark, df, mode: str):
-    """Run a stream over what is there to its end and read what it wrote."""
-    from uuid import uuid4
-
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = f"{where.rstrip('/')}/stream-{uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix="contractlens-")
-    if mode == "append":
-        q = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(df.schema).parquet(base + "/out")
-    q = df.writeStream.outputMode("complete").option("checkpointLocation", base + "/state").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(base + "/out")).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(base + "/out")
-
-
 @query("SELECT event_id, event_type, value FROM events WHERE value > 50")
 def stream_append_available_now(spark, d):
-    return _drain(spark, _stream(spark, d).where("value > 50").select("event_id", "event_type", "value"), "append")
+    return drain(_stream(spark, d).where("value > 50").select("event_id", "event_type", "value"), "append")
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_window_tumbling(spark, d):
     g = _stream(spark, d).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return _drain(spark, g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "complete")
+    return drain(g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "complete")
 
 
 @query("SELECT CAST(date_trunc('hour', ts) - to_hours(unnest([0, 1])) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1".replace("SELECT CAST", "SELECT start, count(*) AS n FROM (SELECT CAST").replace(", count(*) AS n FROM events GROUP BY 1", " FROM events) GROUP BY start"))
 def stream_window_sliding(spark, d):
     g = _stream(spark, d).withWatermark("ts", "1 day").groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
-    return _drain(spark, g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
+    return drain(g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
 @query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (
@@ -314,7 +298,7 @@ def stream_window_sliding(spark, d):
     SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def stream_window_session(spark, d):
     g = _stream(spark, d).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return _drain(spark, g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
+    return drain(g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
 STREAM = """
@@ -327,12 +311,7 @@ outputs: [{name: clicks, location: clicks, schema: [{name: event_id, type: long}
 @query("SELECT event_id, value FROM events WHERE event_type = 'click'")
 def stream_foreach_batch(spark, d):
     """Each micro-batch is checked against the contract, rows included, before it is written."""
-    from uuid import uuid4
-
-    from .enforce import guarded_batches
-
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="contractlens-")
-    base = f"{where.rstrip('/')}/clicks-{uuid4().hex}"
+    base = folder(spark, "clicks")
     out = _stream(spark, d).where("event_type = 'click'").select("event_id", "value")
     text = STREAM.replace("location: clicks", f"location: '{base}/out'")
     out.writeStream.foreachBatch(guarded_batches(text, "clicks", base + "/out")).option("checkpointLocation", base + "/state").trigger(availableNow=True).start().awaitTermination()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.tiers import with_tiers
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,8 +54,7 @@ def filter_predicates_orders(spark, d):
 @query("""SELECT event_id, round(value * value, 4) AS value_squared, CASE WHEN value >= 75 THEN 'high' WHEN value >= 25 THEN 'medium' ELSE 'low' END AS value_tier
   FROM events WHERE value IS NOT NULL""")
 def case_value_tier(spark, d):
-    v = F.col("value")
-    return t(spark, d, "events").where(v.isNotNull()).select("event_id", F.round(v * v, 4).alias("value_squared"), F.when(v >= 75, "high").when(v >= 25, "medium").otherwise("low").alias("value_tier"))
+    return with_tiers(t(spark, d, "events")).select("event_id", F.round("value_squared", 4).alias("value_squared"), "value_tier")
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS key_text, CAST(floor(o_totalprice) AS BIGINT) AS whole, CAST(o_orderdate AS DATE) AS day FROM orders")

@@ -202,3 +202,12 @@ def test_csv_defaults_and_merge_rule(spark):
     plan, _ = catalyst.translate(spark.read.parquet(f"{SF}/nation.parquet"))
     got = verify(Write(plan, [], "o", mutation={"kind": "merge", "condition": None, "updated": ["v", "w"]}), c)
     assert [v.type for v in got] == ["RULE_MERGE_CONDITION_VIOLATION", "RULE_DISALLOWED_UPDATE_COLUMN"]
+
+
+@pytest.mark.parametrize("sql", ["SELECT c_custkey FROM sq_c WHERE c_acctbal > (SELECT avg(o_totalprice) FROM sq_o)", "SELECT c_custkey FROM sq_c WHERE c_custkey IN (SELECT o_custkey FROM sq_o)", "SELECT c_custkey FROM sq_c WHERE EXISTS (SELECT 1 FROM sq_o WHERE o_custkey = c_custkey)", "WITH w AS (SELECT o_custkey FROM sq_o) SELECT c_custkey FROM sq_c WHERE c_custkey IN (SELECT o_custkey FROM w)"])
+def test_reads_inside_subqueries_count(spark, sql):
+    spark.read.parquet(f"{SF}/customer.parquet").createOrReplaceTempView("sq_c")
+    spark.read.parquet(f"{SF}/orders.parquet").createOrReplaceTempView("sq_o")
+    plan, said = catalyst.translate(spark.sql(sql))
+    assert {p.info["location"].rpartition("/")[2] for p in nodes(plan) if p.kind == "read"} == {"customer.parquet", "orders.parquet"}, said
+    assert [(c.output, c.derivation) for c in lineage(plan)] == [("c_custkey", "Direct")]
