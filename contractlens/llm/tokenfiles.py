@@ -18,15 +18,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, short_batches, table
 
 LENGTH, BATCH, END = 2048, 256, 2
 VOCABULARY = "word_bpe_49k.json"
 #: White space at which no token, merge or normalization reaches across.
 GAPS = re.compile(r"[ \t\n\r]+")
-#: Pieces made of Latin-1 letters and a run of marks: the tokenizer cuts between the two and lower-cases letters one by one.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
-KNOWN = 1_000_000
+#: Marks behind a run of letters, at which the tokenizer cuts; texts of Latin-1 alone, which are lower-cased letter by letter.
+MARKS = ".,!?;:"
+BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
+KNOWN = 400_000
 
 
 class Encoder:
@@ -70,15 +71,13 @@ class Encoder:
         known = self.known
         if len(known) > KNOWN:
             known.clear()
-        parts = [GAPS.split(t) for t in texts]
-        new = {p: m.groups() if (m := SIMPLE.fullmatch(p)) else None for p in set().union(*parts) - known.keys()}
-        letters = {m[0].lower() for m in new.values() if m}
-        others = {m[1] for m in new.values() if m} | {p for p, m in new.items() if not m}
-        self._learn(list(letters - known.keys()))
-        self._encode(list(others - known.keys()))
-        for p, m in new.items():
-            if m:
-                known[p] = known[m[0].lower()] + known[m[1]]
+        parts = [GAPS.split(t if BEYOND_LATIN.search(t) else t.lower()) for t in texts]
+        new = set().union(*parts) - known.keys()
+        worded = [(p, q) for p in new if (q := p.rstrip(MARKS)).isalpha() and (q.isascii() or not BEYOND_LATIN.search(q))]
+        self._learn(list({q for _, q in worded} - known.keys()))
+        tails = {p[len(q) :] for p, q in worded}
+        self._encode(list((new - {p for p, _ in worded} | tails) - known.keys()))
+        known.update([(p, known[q] + known[p[len(q) :]]) for p, q in worded if p is not q])
         return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
 
@@ -153,6 +152,7 @@ def _write(batches, folder, vocabulary, length, end):
 
 def write(docs: DataFrame, folder: str, vocabulary: str, partitions: int, length: int = LENGTH, end: int = END) -> list[tuple[int, str, int]]:
     """Write the files; returns (part, name, number of ids) of each, one short row a file, in order."""
+    short_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = src.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     done = ordered.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, length=length, end=end), "part long, name string, n_ids long")
