@@ -17,6 +17,13 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if base else "file:///tmp/contractlens-work"
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand whole texts to Python by so many rows at most, so that a worker's memory does not hang on how many fit a default batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

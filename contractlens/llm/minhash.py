@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, small, table, written
+from .common import components, drop, short_batches, small, table, written
 
 WORDS, SLOTS, ROWS = 5, 250, 5
 #: Two sets at the threshold or more differ in a quarter of the slots at most, so in 15/64 of the four-bit sketches; a pair that differs in
@@ -30,7 +30,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -164,7 +164,7 @@ def _sign(batches, slots, rows, k):
             ids.append(i)
             sets.append(s := shingles(t.as_py(), hashes, k))
             size += len(s)
-            if size > 100_000:
+            if size > 50_000:
                 yield flush(ids, sets)
                 ids, sets, size = [], [], 0
         if ids:
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     them whose lengths, parity vectors (both exact bounds) and sketches allow the threshold. With 50 bands of 5 slots a pair at 0.75 meets in some band with
     probability 1 - 2e-6.
     """
+    short_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = written(src.mapInArrow(partial(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"), "mh-sig")
     real = sig.where("doc_id is not null and n_shingles > 0")

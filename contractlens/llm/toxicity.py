@@ -18,7 +18,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import short_batches, table
 
 TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 4_000, 400, 3, 1, 0.7
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -98,6 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[d
     """Weight by feature hash, and the bias."""
     import numpy as np
 
+    short_batches(docs.sparkSession)
     given = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
     have = given.count()
     if have > most:  # by hash; what is over the bound after that is cut below
@@ -145,7 +146,7 @@ def _score(batches, weights, bias):
             text, hits = t.as_py() or "", {}
             for w in set(WORD.findall(text.lower())):
                 if (got := known.get(w)) is None:
-                    if len(known) > 400_000:
+                    if len(known) > 150_000:
                         known.clear()
                     got = known[w] = tuple((h, weights[h]) for h in map(of, units(w)) if h in weights)
                 if got:
