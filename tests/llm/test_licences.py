@@ -26,3 +26,12 @@ def test_finds_edited_and_repeated_texts():
 def test_rows(spark):
     df = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0."), (None, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id: [f.licence for f in r.found] for r in licences.scan(df).collect()} == {1: ["cc-by-nc-4.0-notice"], None: [], 3: []}
+
+
+def test_whole_published_texts_are_known():
+    models = {n: licences.split(t) for n, t in licences.TEMPLATES.items()}
+    for name in ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "mpl-2.0", "gpl-3.0", "lgpl-2.1", "unlicense", "mit", "isc", "gpl-header"):
+        got = {f[0]: f[3] for f in licences.find("Some words first.\n" + licences.TEMPLATES[name] + "\nand words after", models)}
+        assert got.get(name) == 1.0, (name, got)
+    half = licences.TEMPLATES["mit"].split("THE SOFTWARE IS PROVIDED")[0]
+    assert "mit" not in {f[0] for f in licences.find(half, models)}
