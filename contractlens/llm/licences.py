@@ -1,8 +1,10 @@
 """Licence scan by patience alignment: anchors are words unique to both a stretch of text and a template, their longest increasing
 subsequence is kept, and the gaps between anchors are aligned in turn. Coverage is the share of the template's words that align.
 
-A stretch is a run of the text in which template words are at most GAP words apart; stretches that lack too many of a template's words
-to reach the threshold are skipped (an exact bound), the rest aligned, each on its own, so repeated notices are found again and again.
+A stretch is a run of the text without a gap between template words that DENSITY rules out within a finding. A window slides over it, and
+only where it shares enough words with the template to reach the threshold (an exact bound) are pieces aligned: where the template's rare
+words point and overlapping ones of twice its length. The best is kept and aligned again with more text around it, then the text on both
+sides of it is searched, so repeated notices are found again and again.
 
 Rules for odd input: a null or wordless text has no findings; overlapping findings of different templates are all reported; repeated rows
 are scanned alike; an empty table gives an empty result; other columns are ignored.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-GAP, LEAST, DENSITY = 6, 0.8, 0.5
+LEAST, DENSITY = 0.8, 0.5
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 #: One-line notices and usual headers; the file licence_texts/NAME.txt holds the whole published text of NAME.
 NOTICES = {
@@ -86,52 +88,146 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def find(text: str | None, templates: dict[str, list[str]], gap: int = GAP, least: float = LEAST, density: float = DENSITY) -> list[tuple]:
+def indexed(templates: dict[str, list[str]]) -> tuple[dict[str, Counter], dict[str, list[tuple[str, int]]]]:
+    """Word counts of every template, and for every word the templates that hold it, with its count."""
+    needs = {n: Counter(m) for n, m in templates.items()}
+    index: dict[str, list[tuple[str, int]]] = {}
+    for name, need in needs.items():
+        for w, c in need.items():
+            index.setdefault(w, []).append((name, c))
+    return needs, index
+
+
+def find(text: str | None, templates: dict[str, list[str]], least: float = LEAST, density: float = DENSITY, index=None) -> list[tuple]:
     """(template, first word, one past the last word, coverage) of each finding, by place."""
     words = split(text)
+    needs, holders = index or indexed(templates)
+    shared = Counter()
+    for w, c in Counter(words).items():
+        for name, most in holders.get(w, ()):
+            shared[name] += c if c < most else most
     out = []
-    for name, model in templates.items():
-        have, need = set(model), Counter(model)
-        hits = [i for i, w in enumerate(words) if w in have]
+    for name, most in shared.items():
+        model, need = templates[name], needs[name]
+        if most < least * len(model):
+            continue
+        # a finding has at most len(model) words that do not align for every density, so a longer gap parts it
+        gap = len(model) * (1 / density - 1)
+        hits = [i for i, w in enumerate(words) if w in need]
         k = 0
         while k < len(hits):
             m = k
-            while m + 1 < len(hits) and hits[m + 1] - hits[m] <= gap:
+            while m + 1 < len(hits) and hits[m + 1] - hits[m] - 1 <= gap:
                 m += 1
             out += _stretch(words, hits[k], hits[m] + 1, name, model, need, least, density)
             k = m + 1
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
+def _window_end(words, lo, hi, need, width, goal):
+    """The first place in lo..hi where a window of width words ends that shares goal words with the template, or None."""
+    have, shared = Counter(), 0
+    for e in range(lo, hi):
+        w = words[e]
+        if w in need:
+            shared += have[w] < need[w]
+            have[w] += 1
+        if e - width >= lo:
+            w = words[e - width]
+            if w in need:
+                have[w] -= 1
+                shared -= have[w] < need[w]
+        if shared >= goal:
+            return e
+    return None
+
+
+def _trim(pairs, goal):
+    """The pairs without strays at the ends: every aligned word counts 1, every other word of the text between costs a tenth."""
+    best, run, first, keep = 0.0, 0.0, 0, (0, len(pairs))
+    for k, (i, _) in enumerate(pairs):
+        cost = (i - pairs[k - 1][0] - 1) / 10 if k else 0.0
+        if run - cost <= 0:
+            run, first = 0.0, k
+            cost = 0.0
+        run += 1 - cost
+        if run > best:
+            best, keep = run, (first, k + 1)
+    cut = pairs[slice(*keep)]
+    return cut if len(cut) >= goal else pairs
+
+
+def _best(words, lo, hi, model, need, goal, density):
+    """(first, one past the last, aligned words) of the best finding within lo..hi, or None: most words, then shortest, then first."""
+    size, slack = len(model), max(1, len(model) // 4)
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(model):
+        if need[w] <= 2:
+            places.setdefault(w, []).append(j)
+    votes = Counter(i - j for i in range(lo, hi) for j in places.get(words[i], ()))
+    near = Counter()
+    for d, c in votes.items():
+        near[d // slack] += c
+    # where most rare words of the template point, and overlapping pieces of twice its length
+    starts = sorted({d for d, _ in votes.most_common(3)} | {max((c, -d) for d, c in votes.items() if d // slack == g)[1] * -1 for g, _ in near.most_common(3)})
+    spans = [(d, d + size) for d in starts] + [(d - slack, d + size + slack) for d in starts]
+    spans += [(p, p + 2 * size) for p in range(lo, max(lo + 1, hi - size // 2), max(1, size // 2))]
+    best, tried = None, set()
+
+    def look(a, b):
+        nonlocal best
+        a, b = max(lo, a), min(hi, b)
+        if b - a < goal or (a, b) in tried:
+            return
+        tried.add((a, b))
+        pairs = align(words[a:b], model)
+        if len(pairs) < goal:
+            return
+        for p in (_trim(pairs, goal), pairs):
+            i, k = a + p[0][0], a + p[-1][0] + 1
+            if len(p) >= density * (k - i):
+                if best is None or (-len(p), k - i, i) < (-best[2], best[1] - best[0], best[0]):
+                    best = (i, k, len(p))
+                break
+
+    for a, b in spans:
+        look(a, b)
+    while best and best[2] < size:  # align again around what was found, until that finds no more
+        was = best
+        for more in (slack, size):
+            look(best[0] - more, best[1] + more)
+        if best == was:
+            break
+    return best
+
+
 def _stretch(words, lo, hi, name, model, need, least, density):
     """Findings within one stretch; what lies left and right of a finding is searched again."""
+    goal, width = least * len(model), int(len(model) / density)
     todo = [(lo, hi)]
     while todo:
         lo, hi = todo.pop()
-        part = words[lo:hi]
-        if sum(need[w] for w in set(part) & need.keys()) < least * len(model):
+        e = _window_end(words, lo, hi, need, width, goal)
+        if e is None:
             continue
-        # one pass over the stretch in overlapping pieces of twice the template, so repeats elsewhere do not hide anchors
-        step = len(model)
-        for at in range(0, max(1, len(part) - step // 2), max(1, step // 2)):
-            piece = part[at : at + 2 * step]
-            pairs = align(piece, model)
-            if len(pairs) < least * len(model):
-                continue
-            a, b = pairs[0][0], pairs[-1][0] + 1
-            if len(pairs) >= density * (b - a):
-                yield name, lo + at + a, lo + at + b, len(pairs) / len(model)
-                if lo + at + b < hi:
-                    todo.append((lo + at + b, hi))
-                break
+        # no finding ends before e, and those that begin before e + 1 end within width of it
+        left, right = max(lo, e + 1 - width), min(hi, e + 1 + width)
+        got = _best(words, left, right, model, need, goal, density)
+        if got is None:
+            todo.append((e + 1, hi))
+            continue
+        a, b, n = got
+        yield name, a, b, n / len(model)
+        todo += [(left, a), (b, hi)]
 
 
 def _scan(batches, templates):
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
+    index = indexed(templates)
     for b in batches:
-        rows = [[dict(zip(("licence", "start", "end", "coverage"), f, strict=True)) for f in find(t.as_py(), templates)] for t in b.column(1)]
+        rows = [[dict(zip(("licence", "start", "end", "coverage"), f, strict=True)) for f in find(t.as_py(), templates, index=index)] for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "found"])
 
 

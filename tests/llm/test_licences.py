@@ -35,3 +35,14 @@ def test_whole_published_texts_are_known():
         assert got.get(name) == 1.0, (name, got)
     half = licences.TEMPLATES["mit"].split("THE SOFTWARE IS PROVIDED")[0]
     assert "mit" not in {f[0] for f in licences.find(half, models)}
+
+
+def test_notices_in_long_stretches_are_found_whole():
+    models = {"mit": licences.split(licences.TEMPLATES["mit"])}
+    mit, rnd = models["mit"], random.Random(5)
+    prose = lambda n: [rnd.choice("the of to any and in or a software copies this is rights without".split()) for _ in range(n)]
+    for at in range(0, 400, 13):
+        assert licences.find(" ".join(prose(at) + mit + prose(300)), models) == [("mit", at, at + len(mit), 1.0)]
+    assert licences.find(" ".join(prose(50) + mit * 3), models) == [("mit", 50 + k * len(mit), 50 + (k + 1) * len(mit), 1.0) for k in range(3)]
+    parted = mit[:60] + ["inserted"] * 7 + mit[60:]
+    assert licences.find(" ".join(parted), models) == [("mit", 0, len(parted), 1.0)]
