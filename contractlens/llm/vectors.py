@@ -6,7 +6,8 @@ graphs greedily from their medoids and expands through all nodes in range. Links
 is audited against brute force on a bounded set of queries.
 
 Equal vectors are one node, so copies are counted, never paired. A cell above PIECE is split into pieces and its vectors search all of them
-in blocks; results are counts and, for each vector, links to a spanning forest of its cell, so dense groups do not emit all their pairs.
+in blocks. Results are counts and, for each vector, links to a spanning forest of its cell; only pairs that share several cells are named
+(two longs each), so that the union of what these cells find is counted.
 
 Rules for odd input: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
 never link; rows with equal ids are one vector each but share a component; a null id links with nothing (component null, kept true); an
@@ -177,6 +178,18 @@ def _vectors(column):
     return unit(np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1))
 
 
+def _other_cells(side):
+    """The cells of each row besides the one that the side is grouped by, -1 where there are fewer."""
+    import numpy as np
+
+    here = side.column("cell").to_numpy()
+    lists = [[c for c in cs if c != cell] for cs, cell in zip(side.column("cells").to_pylist(), here.tolist(), strict=True)]
+    out = np.full((len(lists), max(1, max(map(len, lists)))), -1)
+    for i, cs in enumerate(lists):
+        out[i, : len(cs)] = cs
+    return out
+
+
 def _build(group):
     """One piece of a cell: its graph as (node, neighbour ids)."""
     import pyarrow as pa
@@ -208,9 +221,9 @@ def _search(left, right, threshold):
     import numpy as np
     import pyarrow as pa
 
-    names = ["node", "root", "n"]
+    kind = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("others", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))])
     if not left.num_rows or not right.num_rows:
-        return pa.table([pa.array([], pa.int64())] * 3, names)
+        return kind.empty_table()
     right = right.take(pa.array(np.argsort(right.column("node").to_numpy(), kind="stable")))
     ids, x = right.column("node").to_numpy(), _vectors(right.column("v"))
     weight = right.column("weight").to_numpy()
@@ -223,10 +236,9 @@ def _search(left, right, threshold):
     mean = x.mean(0)
     medoids = [int(np.argmax(x @ mean)), *range(0, len(ids), max(1, len(ids) // 4))]
     qid, q = left.column("node").to_numpy(), _vectors(left.column("v"))
-    cell = right.column("cell")[0].as_py()
-    in_q, in_x = (side.column("cells").to_pylist() for side in (left, right))
-    # a pair that meets in several cells is counted in the first one
-    shared_q, shared_x = (np.array([[*(c for c in cs if c < cell), -1 - k][:1] for cs in side]).ravel() for k, side in enumerate((in_q, in_x)))
+    # a pair that shares this cell alone is counted here; what shares more is named, and counted once whichever cells find it
+    cell_q, cell_x = (_other_cells(side) for side in (left, right))
+    named_q, named_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     links = np.zeros(len(q), np.int64)
     every = np.concatenate([qid, ids])
     nodes = np.unique(every)
@@ -238,13 +250,23 @@ def _search(left, right, threshold):
             a, b = r[j : j + 100_000] + i, m[j : j + 100_000]
             good = (np.einsum("ij,ij->i", q[a], x[b]) >= threshold) & (qid[a] != ids[b])
             a, b = a[good], b[good]
-            first = shared_q[a] != shared_x[b]
-            links += np.bincount(a[first], weight[b[first]], len(q)).astype(np.int64)
+            more = np.zeros(len(a), bool)
+            for k in range(cell_q.shape[1]):
+                for c in range(cell_x.shape[1]):
+                    more |= (cell_q[a, k] == cell_x[b, c]) & (cell_q[a, k] >= 0)
+            links += np.bincount(a[~more], weight[b[~more]], len(q)).astype(np.int64)
+            named_q.append(a[more])
+            named_x.append(b[more])
             root = _merge(root, at_q[a], at_x[b])
     n = np.zeros(len(nodes), np.int64)
     n[at_q] = links
-    some = (n > 0) | (root != np.arange(len(nodes)))
-    return pa.table([pa.array(nodes[some], pa.int64()), pa.array(nodes[root[some]], pa.int64()), pa.array(n[some], pa.int64())], names)
+    by, to = at_q[np.concatenate(named_q)], np.concatenate(named_x)
+    order = np.argsort(by, kind="stable")
+    count = np.bincount(by, minlength=len(nodes))
+    some = (n > 0) | (root != np.arange(len(nodes))) | (count > 0)
+    ends = pa.array(np.concatenate([[0], np.cumsum(count[some])]), pa.int32())
+    named = [pa.ListArray.from_arrays(ends, pa.array(col[to[order]], pa.int64())) for col in (ids, weight)]
+    return pa.table([pa.array(nodes[some], pa.int64()), pa.array(nodes[root[some]], pa.int64()), pa.array(n[some], pa.int64()), *named], schema=kind)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, piece: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
@@ -276,9 +298,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     # a block is one piece's queries; it searches every piece of its cell
     queries = ready.select("cell", F.col("piece").alias("block"), "node", "v", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     bases = ready.select("cell", "piece", "node", "v", "weight", "adj", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("block"))
-    pairs = queries.groupBy("cell", "block", "piece").cogroup(bases.groupBy("cell", "block", "piece")).applyInArrow(partial(_search, threshold=threshold), "node long, root long, n long")
+    pairs = queries.groupBy("cell", "block", "piece").cogroup(bases.groupBy("cell", "block", "piece")).applyInArrow(partial(_search, threshold=threshold), "node long, root long, n long, others array<long>, weights array<long>")
     found = written(pairs, "vec-found")
-    sums = found.groupBy("node").agg(F.sum("n").alias("n"))
+    # a named pair may come from each cell that its vectors share, and counts once
+    named = found.select("node", F.explode(F.arrays_zip("others", "weights")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.weights").alias("n"))
+    once = named.groupBy("node", "other").agg(F.max("n").alias("n"))
+    sums = found.select("node", "n").unionByName(once.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n"))
     own = good.join(nodes, "v").select("vec_id", "node", "weight")
     twice = own.groupBy("vec_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("u", "v")
     comp = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(twice), "vec-cc", BROADCAST_ROWS)

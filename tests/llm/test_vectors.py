@@ -33,3 +33,26 @@ def test_recall_and_precision(spark):
     assert np.mean([got[i][1] == c for i, (_, c) in want.items()]) >= 0.97
     assert vectors.audit(df, out) >= 0.9
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_a_link_found_in_the_second_shared_cell_alone_counts(spark, monkeypatch):
+    import pyarrow as pa
+
+    v = np.array([[1.0, 0.0], [1.0, 0.01]])
+    side = lambda cell: pa.table({"cell": [cell] * 2, "node": [1, 2], "v": [x.tobytes() for x in v], "weight": [1, 3], "adj": [[2], [1]], "cells": [[5, 9]] * 2})
+    right = vectors._search(side(9), side(9), 0.95)
+    monkeypatch.setattr(vectors, "search", lambda *a, **k: (np.zeros(0, int), np.zeros(0, int)))
+    left = vectors._search(side(5), side(5), 0.95)
+    assert left.num_rows == 0
+    assert {r["node"]: (r["n"], r["others"], r["weights"]) for r in right.to_pylist()} == {1: (0, [2], [3]), 2: (0, [1], [1])}
+
+
+def test_counts_hold_wherever_components_do(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(1, 16)) + rng.normal(size=(300, 16)) * 0.1, rng.normal(size=(100, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    want = brute([(i, [float(a) for a in v]) for i, v in enumerate(x)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df, cell=80, piece=60).collect()}
+    assert all(got[i][0] <= n for i, (n, _) in want.items())
+    assert not [i for i, (n, c) in got.items() if n == 0 and c != i]
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
