@@ -16,16 +16,21 @@ empty table gives an empty result; labels and other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, small, table, written
+from .common import BROADCAST_ROWS, components, drop, small, table, written
 
 #: Rows that centroids are fitted on, vectors aimed at in a cell, most in a piece, most cells.
 SAMPLE, CELL, PIECE, CELLS = 8_000, 1_000, 2_000, 1_024
 OVERLAP, DEGREE, ALPHA, BEAM, SLACK, THRESHOLD = 2, 24, 1.2, 16, 0.1, 0.95
+#: The least recall that an audit accepts, and the (overlap, beam) tried in turn.
+RECALL, WIDTHS = 0.9, ((OVERLAP, BEAM), (2 * OVERLAP, 4 * BEAM), (4 * OVERLAP, 16 * BEAM))
+
+log = logging.getLogger(__name__)
 
 
 def unit(x):
@@ -216,7 +221,7 @@ def _merge(root, a, b):
         root = new
 
 
-def _search(left, right, threshold):
+def _search(left, right, threshold, beam=BEAM):
     """One block of queries (left) against one piece of its cell (right), with the united adjacency lists of the piece's nodes."""
     import numpy as np
     import pyarrow as pa
@@ -245,7 +250,7 @@ def _search(left, right, threshold):
     root = np.arange(len(nodes))
     at_q, at_x = np.searchsorted(nodes, qid), np.searchsorted(nodes, ids)
     for i in range(0, len(q), 500):
-        r, m = search(x.astype(np.float32), graph, sorted(set(medoids)), q[i : i + 500].astype(np.float32), threshold)
+        r, m = search(x.astype(np.float32), graph, sorted(set(medoids)), q[i : i + 500].astype(np.float32), threshold, beam)
         for j in range(0, len(r), 100_000):
             a, b = r[j : j + 100_000] + i, m[j : j + 100_000]
             good = (np.einsum("ij,ij->i", q[a], x[b]) >= threshold) & (qid[a] != ids[b])
@@ -269,7 +274,7 @@ def _search(left, right, threshold):
     return pa.table([pa.array(nodes[some], pa.int64()), pa.array(nodes[root[some]], pa.int64()), pa.array(n[some], pa.int64()), *named], schema=kind)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, piece: int = PIECE, overlap: int = OVERLAP) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, piece: int = PIECE, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     import numpy as np
 
@@ -298,7 +303,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     # a block is one piece's queries; it searches every piece of its cell
     queries = ready.select("cell", F.col("piece").alias("block"), "node", "v", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     bases = ready.select("cell", "piece", "node", "v", "weight", "adj", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("block"))
-    pairs = queries.groupBy("cell", "block", "piece").cogroup(bases.groupBy("cell", "block", "piece")).applyInArrow(partial(_search, threshold=threshold), "node long, root long, n long, others array<long>, weights array<long>")
+    pairs = queries.groupBy("cell", "block", "piece").cogroup(bases.groupBy("cell", "block", "piece")).applyInArrow(partial(_search, threshold=threshold, beam=beam), "node long, root long, n long, others array<long>, weights array<long>")
     found = written(pairs, "vec-found")
     # a named pair may come from each cell that its vectors share, and counts once
     named = found.select("node", F.explode(F.arrays_zip("others", "weights")).alias("x")).select("node", F.col("x.others").alias("other"), F.col("x.weights").alias("n"))
@@ -340,5 +345,18 @@ def audit(vectors: DataFrame, result: DataFrame, threshold: float = THRESHOLD, q
     return 1.0 if not row.t else row.n / row.t
 
 
+def audited(vectors: DataFrame, threshold: float = THRESHOLD, least: float = RECALL) -> DataFrame:
+    """near_vectors with its recall measured by audit(), logged and kept as .recall: overlap and beam are widened while it is under least."""
+    for overlap, beam in WIDTHS:
+        out = written(near_vectors(vectors, threshold, overlap=overlap, beam=beam), "vec-out")
+        out.recall = audit(vectors, out, threshold)
+        log.info("recall %.4f of audited links with overlap %d, beam %d", out.recall, overlap, beam)
+        if out.recall >= least:
+            return out
+        log.warning("recall %.4f is under %.2f with overlap %d, beam %d", out.recall, least, overlap, beam)
+        drop(out)
+    raise RuntimeError(f"recall of near vectors stays under {least} with overlap {overlap}, beam {beam}")
+
+
 def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return audited(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from contractlens.llm import vectors
 
@@ -56,3 +57,15 @@ def test_counts_hold_wherever_components_do(spark):
     assert all(got[i][0] <= n for i, (n, _) in want.items())
     assert not [i for i, (n, c) in got.items() if n == 0 and c != i]
     assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
+
+
+def test_recall_is_audited_and_widens_the_search(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(6)], "vec_id long, embedding array<float>")
+    widths, recalls = [], [0.5, 0.95]
+    near = vectors.near_vectors
+    monkeypatch.setattr(vectors, "near_vectors", lambda *a, overlap, beam, **k: widths.append((overlap, beam)) or near(*a, overlap=overlap, beam=beam, **k))
+    monkeypatch.setattr(vectors, "audit", lambda *a: recalls.pop(0))
+    assert vectors.audited(df).recall == 0.95 and widths == list(vectors.WIDTHS[:2])
+    monkeypatch.setattr(vectors, "audit", lambda *a: 0.1)
+    with pytest.raises(RuntimeError):
+        vectors.audited(df)
