@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,19 +64,25 @@ def null_counts(df: DataFrame) -> DataFrame:
 def report(df: DataFrame, fields: list[Field], examples: int = 5) -> DataFrame:
     """column, check, failed, total, examples (the smallest distinct failing values, as text), in one pass over df.
 
-    Examples are kept per task by min-merging a bounded set, so no list of failing rows is gathered.
+    A row is counted by check and failing value before anything is shuffled; numbers are ordered as numbers, all else as text.
     """
     checks = [(f.name, c) for f in fields for c in f.constraints if f.name in df.columns]
     checks = [(n, c.kind, failing(df, n, c)) for n, c in checks] + [(f.name, "notNull", F.col(f"`{f.name}`").isNull()) for f in fields if not f.nullable and f.name in df.columns]
     if not checks:
         return df.sparkSession.createDataFrame([], "column string, check string, failed long, total long, examples array<string>")
-    aggs = [F.count("*").alias("total")]
+    item = lambda k, number, text: F.struct(F.lit(k).alias("k"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+    items = [item(-1, F.lit(None), F.lit(None))]  # each row once, for the total
     for k, (n, _, bad) in enumerate(checks):
-        aggs.append(F.count_if(bad).alias(f"f{k}"))
-        aggs.append(F.min(F.when(bad, F.col(f"`{n}`").cast("string"))).alias(f"x{k}"))
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(kind).alias("check"), F.col(f"f{k}").alias("failed"), F.col("total"), F.array_compact(F.array(f"x{k}")).alias("examples")) for k, (n, kind, _) in enumerate(checks)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+        col = F.col(f"`{n}`")
+        items.append(F.when(bad, item(k, col if _number(df.schema[n].dataType) else F.lit(None), col)))
+    values = df.select(F.explode(F.array_compact(F.array(*items))).alias("x")).groupBy("x.k", "x.number", "x.text").agg(F.count("*").alias("c"))
+    sums = values.groupBy("k").agg(F.sum("c").alias("failed"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.col("number").asc_nulls_last(), F.col("text").asc_nulls_last()))
+    least = values.withColumn("rank", rank).where(F.col("rank") <= examples).groupBy("k").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("rank", "text")))).alias("least"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("column"), F.lit(kind).alias("check")) for k, (n, kind, _) in enumerate(checks)])).alias("r")).select("r.*")
+    total = sums.agg(F.coalesce(F.sum(F.when(F.col("k") == -1, F.col("failed"))), F.lit(0)).alias("total"))
+    out = names.join(F.broadcast(sums), "k", "left").join(F.broadcast(least), "k", "left").crossJoin(F.broadcast(total)).orderBy("k")
+    return out.select("column", "check", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), F.col("total").cast("long").alias("total"), F.coalesce(F.col("least.text"), F.array().cast("array<string>")).alias("examples"))
 
 
 def failing_examples(df: DataFrame, name: str, c: Constraint, most: int = 5) -> DataFrame:
