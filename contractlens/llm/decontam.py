@@ -6,7 +6,8 @@ on that word alone. A candidate is the place where the window would have to begi
 (position and length bounds), and the rest are verified word by word over a stretch of the window's own size.
 
 Rules for odd input: null and wordless texts have no words and no windows; a null item_id is an item whose id reads as an empty string;
-items with equal ids count once; repeated documents get equal rows; empty tables give no hits or an empty result; other columns are ignored.
+items with equal ids count once; repeated documents get equal rows; empty tables give no hits or an empty result; other columns are
+ignored by decontaminate() and carried unread by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -68,19 +69,23 @@ def _marked(docs: DataFrame, items: DataFrame, size: int, least_items: int) -> D
     hit_items = checked.where(F.size("hits") > 0).select("k1", "k2", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["wid"].alias("wid"), h["wid2"].alias("wid2"))))).alias("h")).select("k1", "k2", "h.wid", "h.wid2")
     named = hit_items.join(small(pairs).select("wid", "wid2", "item"), ["wid", "wid2"]).groupBy("k1", "k2").agg(F.collect_set("item").alias("items"))
     named = named.select("k1", "k2", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"))
-    out = checked.select("doc_id", "k1", "k2", "n_words", covered.alias("n_hit")).join(named, ["k1", "k2"], "left")
+    whole = F.exists("hits", lambda h: h["e"] - h["s"] >= size)
+    out = checked.select("doc_id", "k1", "k2", "n_words", covered.alias("n_hit"), whole.alias("whole")).join(named, ["k1", "k2"], "left")
     n_items = F.coalesce("n_items", F.lit(0).cast("long"))
     none = F.sha2(F.lit(""), 256)
-    out = out.select("doc_id", "k1", "k2", "n_words", "n_hit", n_items.alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
-    return out
+    return out.select("doc_id", "k1", "k2", "n_words", "n_hit", "whole", n_items.alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
-    """docs without the contaminated rows."""
-    bad = _marked(docs, items, size, least_items).where("contaminated").select(F.col("k1").alias("bad1"), F.col("k2").alias("bad2")).distinct()
-    bad = small(written(bad, "dc-bad"))
+    """docs without the rows that hold a whole window of size words of any item, or all of least_items shorter items.
+
+    An item shorter than a window may be an everyday phrase, so one alone does not condemn a text; size words in a row do.
+    """
+    bad = _marked(docs, items, size, least_items).where(F.col("contaminated") | F.col("whole")).select("k1", "k2").distinct()
+    bad = written(bad, "dc-bad")
     k1, k2 = row_key(docs["doc_id"], docs["text"])
-    return docs.join(bad, (k1 == F.col("bad1")) & (k2 == F.col("bad2")), "left_anti")
+    bad = small(bad)
+    return docs.join(bad, (k1 == bad["k1"]) & (k2 == bad["k2"]), "left_anti")
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold windows of two or more benchmark items."""
+    """Drop the documents that hold a whole window of a benchmark item, or two items too short for one."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

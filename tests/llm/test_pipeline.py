@@ -40,13 +40,24 @@ def test_stages(spark, data):
     ids = [[r.doc_id for r in s.select("doc_id").collect()] for s in steps]
     assert set(ids[0]) == {r[0] for r in rows if not toxic.get(r[0])}
     assert sorted(ids[1]) == sorted(set(ids[0]) - {300, 301, 302})
-    assert sorted(ids[2]) == sorted(set(ids[1]) - {400})
+    assert sorted(ids[2]) == sorted(set(ids[1]) - {400, 401})
     assert set(ids[3]) <= set(ids[2]) and all(ids[3].count(i) <= 2 for i in ids[3])
     assert sorted(ids[4]) == sorted(ids[3])
     want = steps[2].count()
     assert mixing.mix(steps[2]).count() == want
 
 
+def test_clean_drops_whole_windows_and_keeps_everyday_phrases(spark):
+    rnd = random.Random(8)
+    items = [(1, "u0 u1 u2 u3 u4 u5 u6 u7 u8"), (2, "thank you"), (3, "good morning"), (4, "v0 v1 v2 v3 v4 v5 v6 v7")]
+    texts = {0: "x y z", 1: "x u1 u2 u3 u4 u5 u6 u7 u8 y", 2: "u0 u1 u2 u3 u4 u5 u6", 3: "Thank you all " * 9, 4: "thank YOU; good morning", 5: "v0 v1 v2 v3 x v4 v5 v6 v7", 6: None, 7: "V0,v1 v2 v3 v4 v5 v6 v7", 8: ""}
+    rows = [(i, t, rnd.random(), i + 1, i + 2, True) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad1 double, k1 long, k2 long, whole boolean")
+    out = decontam.clean(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted(out.collect()) == sorted(r for r in docs.collect() if r.doc_id not in (1, 4, 7))
+
+
 def test_mix_against_python(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(["w"] * rnd.randrange(0, 60)) if i % 11 else None, rnd.choice(["a", "b", "c", "d", None]) if i > 5 else "z") for i in range(400)]
