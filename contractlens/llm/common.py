@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two-column table up to which a join may broadcast it (about 16 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
+#: Rows and bytes of a table up to which a join may broadcast it; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
+#: Bytes of texts handed to Python at once, and nodes that one union-find holds (twice the edges that may meet in one).
+BATCH_BYTES, NODES = 4 << 20, 2 * BROADCAST_ROWS
+
+
+class NoSharedFolder(RuntimeError):
+    """Intermediate tables need a folder that the driver and all executors share."""
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one where none is set (tests)."""
+    """The shared folder of the cluster. Only where all runs in one process (master local, as in tests) may it be unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return base.rstrip("/") if base else "file:///tmp/contractlens-work"
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or "file:///tmp/contractlens-work").rstrip("/")
 
 
-def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Hand whole texts to Python by so many rows at most, so that a worker's memory does not hang on how many fit a default batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+@contextmanager
+def batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Within it, what runs hands Python so many bytes at a time at most (one row at least); the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -29,10 +43,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back. Python gets BATCH_BYTES at a time at most."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out
@@ -46,9 +61,17 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast only if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast only if it has at most so many rows, and so many bytes in strings, arrays and fixed columns."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    kinds = dict(df.dtypes)
+    wide = [c for c, k in kinds.items() if k in ("string", "binary")], [c for c, k in kinds.items() if k.startswith("array")]
+    if any(wide):
+        each = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c in wide[0]] + [F.coalesce(F.octet_length(F.to_json(f"`{c}`")), F.lit(0)) for c in wide[1]]
+        if (df.agg(F.sum(sum(each, F.lit(8 * len(kinds))).cast("long"))).first()[0] or 0) > size:
+            return df
+    return F.broadcast(df)
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -61,11 +84,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _forest(batches):
-    """Union-find within a partition: edges in, star edges (node, root) out."""
+    """Union-find within a partition: edges in, star edges (node, root) out; at NODES nodes it hands on what it has and starts anew."""
     import pyarrow as pa
 
     parent: dict[int, int] = {}
 
+    def stars():
+        nodes = [x for x in parent if find(x) != x]
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
+        parent.clear()
+
     def find(x):
         root = x
         while parent[root] != root:
@@ -81,17 +111,16 @@ def _forest(batches):
             a, c = find(u), find(v)
             if a != c:
                 parent[max(a, c)] = min(a, c)
-    nodes = [x for x in parent if find(x) != x]
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
+        if len(parent) > NODES:
+            yield from stars()
+    yield from stars()
 
 
 def components(edges: DataFrame, name: str, one_task: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, comp) with comp the smallest node.
 
-    Up to one_task edges after that are joined by one union-find; beyond, they never meet in one place. Union-find inside each partition first, then alternating large-star and small-star rounds over written tables until nothing
-    changes. The per-node minimum is a partial aggregation and the join on a hot node can be split, so no group meets in one task.
+    Union-find inside each partition first. Up to one_task edges after that are joined by one union-find; beyond, they never meet in one
+    place: large-star and small-star rounds alternate over written tables until nothing changes. The per-node minimum is a partial aggregation and the join on a hot node can be split, so no group meets in one task.
     """
     cur = written(edges.where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), name)
     total = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -234,7 +234,7 @@ def _scan(batches, templates):
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id and its findings: array of (licence, start, end, coverage), places in words. No shuffle."""
     models = {n: split(t) for n, t in (templates or TEMPLATES).items()}
-    return docs.select("doc_id", "text").mapInArrow(partial(_scan, templates=models), "doc_id long, found array<struct<licence:string,start:long,end:long,coverage:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_scan, templates=models), "doc_id long, found array<struct<licence:string,start:long,end:long,coverage:double>>")
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,17 +7,15 @@ an empty table gives an empty result; columns other than id and text are ignored
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, short_batches, small, table, written
+from .common import components, drop, small, table, written
 
 WORDS, SLOTS, ROWS = 5, 250, 5
-#: Two sets at the threshold or more differ in a quarter of the slots at most, so in 15/64 of the four-bit sketches; a pair that differs in
-#: more than this share, five standard deviations above, is below it but for a chance of about 3e-7.
-SKETCH_SHARE, PER_LONG = 0.37, 16
 #: Bits of the parity vector of a set. Where two of them differ, the sets differ: an exact bound on how many shingles only one has.
 PARITY = 1024
 #: Fixed odd constants of the 64-bit mixing function.
@@ -108,15 +106,6 @@ def bands(sig, rows: int = ROWS):
     return mix(acc)
 
 
-def sketches(sig):
-    """Four bits of each slot, sixteen slots to a long."""
-    import numpy as np
-
-    bits = mix(sig.view(np.uint64)) & np.uint64(15)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % PER_LONG))).reshape(len(bits), -1, PER_LONG)
-    return (bits << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-
-
 def parity(hashes):
     """For each of PARITY cells, whether an odd number of a set's hashes falls there."""
     import numpy as np
@@ -125,14 +114,6 @@ def parity(hashes):
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def slots_apart(a, b):
-    """Column: how many of the sixteen slots of two longs differ."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-
 def _sign(batches, slots, rows, k):
     import numpy as np
     import pyarrow as pa
@@ -143,7 +124,6 @@ def _sign(batches, slots, rows, k):
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = signatures([sets[i] for i in full], slots) if full else None
         got = dict(zip(full, bands(sig, rows).view(np.int64), strict=True)) if full else {}
-        bits = dict(zip(full, sketches(sig), strict=True)) if full else {}
         digest = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s)))) if len(s) else (None, None) for s in sets]
         signed = lambda x: None if x is None else x - (1 << 64) if x >> 63 else x
         return pa.RecordBatch.from_arrays(
@@ -153,9 +133,9 @@ def _sign(batches, slots, rows, k):
                 pa.array([signed(d[0]) for d in digest], pa.int64()),
                 pa.array([signed(d[1]) for d in digest], pa.int64()),
                 pa.array([got.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
-                pa.array([np.concatenate([bits[i], parity(sets[i])]) if i in bits else None for i in range(len(sets))], pa.list_(pa.int64())),
+                pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+            ["doc_id", "n_shingles", "d1", "d2", "bands", "parity"],
         )
 
     for b in batches:
@@ -214,37 +194,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for every row.
 
     Rows with equal shingle sets become one class (min id). Each bucket of a band first compares its members with its smallest
-    one; what that links is grouped, and only members of buckets that still hold several groups are compared across groups, all of
-    them whose lengths, parity vectors (both exact bounds) and sketches allow the threshold. With 50 bands of 5 slots a pair at 0.75 meets in some band with
-    probability 1 - 2e-6.
+    one; what that links is grouped, and only members of buckets that still hold several groups are compared across groups. Before texts
+    are fetched, a pair must pass exact bounds on lengths and parity vectors, which no pair at the threshold fails. Members of a bucket
+    meet by length class: sets at the threshold are of one class or of neighbouring ones. With 50 bands of 5 slots a pair at 0.75 meets
+    in some band with probability 1 - 2e-6.
     """
-    short_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(src.mapInArrow(partial(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"), "mh-sig")
+    sig = written(src.mapInArrow(partial(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, parity array<long>"), "mh-sig")
     real = sig.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = written(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "d1", "d2", "sketch"), "mh-reps")
+    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    reps = written(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "d1", "d2", "parity"), "mh-reps")
     banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.min("rep").alias("pivot"), F.count("*").alias("c"), F.max("rep").alias("top")).where("pivot < top").select("band", "h", "pivot")
     members = written(banded.join(buckets, ["band", "h"]), "mh-members")
-    size = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    star = written(members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), "mh-star")
+    cells = PARITY // 64
+    bits = lambda name: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), *[F.element_at("parity", i + 1).alias(f"{name}{i}") for i in range(cells)])
+
+    def possible(u: str, v: str):
+        """The exact bounds: 100 both >= percent union, with both = (n - d) / 2 and union = (n + d) / 2 for n = |u| + |v| and d = |u ^ v|."""
+        n_u, n_v = F.col(f"n_{u}"), F.col(f"n_{v}")
+        differ = sum((F.bit_count(F.col(f"{u}{i}").bitwiseXOR(F.col(f"{v}{i}"))) for i in range(cells)), F.lit(0))
+        return (F.least(n_u, n_v) * 100 >= F.greatest(n_u, n_v) * percent) & (differ * (100 + percent) <= (n_u + n_v) * (100 - percent))
+
+    pairs = written(members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct(), "mh-pairs")
+    star = written(pairs.join(bits("u"), "u").join(bits("v"), "v").where(possible("u", "v")).select("u", "v"), "mh-star")
     texts = src.where("doc_id is not null and text is not null")
     first = _links(texts, star, percent, words)
     comp = written(components(first, "mh-cc"), "mh-comp")
     marked = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = marked.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("pc")).where("lo < hi").select("band", "h", "pc")
-    longs = -(-slots // PER_LONG)
-    every = longs + PARITY // 64
-    bits = reps.select("rep", *[F.element_at("sketch", i + 1).alias(f"b{i}") for i in range(every)])
-    left = written(marked.join(mixed, ["band", "h"]).join(bits, "rep"), "mh-left")
-    s = left.where("comp <> pc").select("band", "h", F.col("rep").alias("s"), F.col("comp").alias("cs"), F.col("n").alias("ns"), "pivot", *[F.col(f"b{i}").alias(f"s{i}") for i in range(every)])
-    m = left.select("band", "h", F.col("rep").alias("m"), F.col("comp").alias("cm"), F.col("n").alias("nm"), "pc", *[F.col(f"b{i}").alias(f"m{i}") for i in range(every)])
-    apart = sum((slots_apart(F.col(f"s{i}"), F.col(f"m{i}")) for i in range(longs)), F.lit(0))
-    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(longs, every)), F.lit(0))
-    # 100 both >= percent union, with both = (n - d) / 2 and union = (n + d) / 2 for n = |a| + |b| and d = |a ^ b|
-    near = differ * (100 + percent) <= (F.col("ns") + F.col("nm")) * (100 - percent)
-    cross = s.join(m, ["band", "h"]).where((F.col("cs") != F.col("cm")) & (F.col("m") != F.col("pivot")) & ((F.col("cm") == F.col("pc")) | (F.col("s") < F.col("m"))) & size(F.col("ns"), F.col("nm")) & near & (apart <= int(slots * SKETCH_SHARE)))
+    left = written(marked.join(mixed, ["band", "h"]).select("band", "h", "rep", "comp", "pivot", "pc"), "mh-left")
+    # a class reaches a little further than the threshold's length ratio, so that rounding cannot part neighbours
+    ratio = math.log(100 / percent) * 1.001 if percent < 100 else 1.0
+    grade = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(ratio))
+    s = left.where("comp <> pc").select("band", "h", F.col("rep").alias("s"), F.col("comp").alias("cs"), "pivot").join(bits("s"), "s")
+    s = s.withColumn("grade", F.explode(F.array(*[grade("n_s") + i for i in (-1, 0, 1)])))
+    m = left.select("band", "h", F.col("rep").alias("m"), F.col("comp").alias("cm"), "pc").join(bits("m"), "m").withColumn("grade", grade("n_m"))
+    cross = s.join(m, ["band", "h", "grade"]).where((F.col("cs") != F.col("cm")) & (F.col("m") != F.col("pivot")) & ((F.col("cm") == F.col("pc")) | (F.col("s") < F.col("m"))) & possible("s", "m"))
     rest = written(cross.select(F.least("s", "m").alias("u"), F.greatest("s", "m").alias("v")).distinct(), "mh-rest")
     links = first
     second = None
@@ -261,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sig.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     comp_id = F.coalesce("comp", "doc_id")
     result = out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(comp_id == F.col("doc_id"), F.lit(True)).alias("kept"))
-    result.work_tables = [reps, members, star, comp, left, rest, *([second] if second is not None else []), first]
+    result.work_tables = [reps, members, pairs, star, comp, left, rest, *([second] if second is not None else []), first]
     return result
 
 

@@ -13,6 +13,7 @@ import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -108,7 +109,7 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and all spans found: array of (kind, start, end, score). No shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
 
 
 def digest(found) -> tuple:

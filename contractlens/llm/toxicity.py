@@ -18,7 +18,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import batches, small, table, written
 
 TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 4_000, 400, 3, 1, 0.7
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -51,7 +51,7 @@ def _hashed(batches):
 
     for b in batches:
         rows = [np.sort(np.fromiter((xxhash.xxh64_intdigest(f) >> 1 for f in features(t)), np.int64)) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), b.column(1)], ["f", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), *b.columns[1:]], ["f", "y", "o", "t"])
 
 
 def label_model(votes, labels, rounds: int = 20):
@@ -98,12 +98,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[d
     """Weight by feature hash, and the bias."""
     import numpy as np
 
-    short_batches(docs.sparkSession)
-    given = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
-    have = given.count()
-    if have > most:  # by hash; what is over the bound after that is cut below
-        given = given.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / have))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(given, "id").select("text", "y").mapInArrow(_hashed, "f array<long>, y int").limit(2 * most).toArrow()
+    order = F.xxhash64("id", F.lit(7))
+    given = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
+    given = written(given.orderBy(order, "id", "y").limit(most), "tox-given")
+    have = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(given), "id").select("text", "y", order.alias("o"), F.xxhash64("text").alias("t"))
+    # repeated ids may give more rows than labels; the first by the same order count
+    with batches(docs.sparkSession):
+        rows = have.mapInArrow(_hashed, "f array<long>, y int, o long, t long").orderBy("o", "t", "y").limit(most).toArrow()
     y = rows.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         prior = (y.sum() + 1) / (len(y) + 2)
@@ -159,7 +160,7 @@ def _score(batches, weights, bias):
 def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """docs' columns but with score for text: doc_id, score. No shuffle once the classifier is fitted."""
     weights, bias = train(docs, labels, most)
-    return docs.select("doc_id", "text").mapInArrow(partial(_score, weights=weights, bias=bias), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, weights=weights, bias=bias), "doc_id long, score double")
 
 
 def _keep(batches, weights, bias, at, limit):
