@@ -5,7 +5,7 @@ uint32 by vocabulary size, and a mask of the same length, false on the padding o
 count). Files get a name of their own per task attempt and the name that a finished attempt returns is the one that is read, so a lost
 executor's rerun never mixes with what it left.
 
-Rules for odd input: a null or empty text is its end id alone; null ids come first; repeated ids are ordered by text; an empty table
+Rules for odd input: a null or empty text is its end id alone; null ids come first; repeated ids are ordered by a hash of the text; an empty table
 gives an empty result; other columns are ignored whatever their names.
 """
 
@@ -14,24 +14,29 @@ from __future__ import annotations
 import re
 import uuid
 from functools import partial
+from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, short_batches, table
+from .common import batches, new_path, table
 
 LENGTH, BATCH, END = 2048, 256, 2
 VOCABULARY = "word_bpe_49k.json"
-#: White space at which no token, merge or normalization reaches across.
-GAPS = re.compile(r"[ \t\n\r]+")
-#: Marks behind a run of letters, at which the tokenizer cuts; texts of Latin-1 alone, which are lower-cased letter by letter.
+#: Marks behind a run of letters, at which the tokenizer cuts; words of Latin-1 alone, which are lower-cased letter by letter.
 MARKS = ".,!?;:"
 BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
-KNOWN = 400_000
+#: Pieces of which a process keeps the ids, bytes of texts encoded together, bytes of text aimed at in a file.
+KNOWN, AT_ONCE, FILE_BYTES = 1_000_000, 4 << 20, 128 << 20
 
 
 class Encoder:
-    """Ids of whole texts by way of the pieces between white space, each encoded once by the tokenizers library."""
+    """Ids of whole texts by way of the pieces between white space; a piece is encoded by the tokenizers library when it is new.
+
+    Texts are split and their pieces numbered by Arrow, so Python sees each distinct piece of a batch once. What is known of a piece is a
+    row: where its ids stand in one array, how many they are, and in how many batches it came up. Over KNOWN rows, only pieces that came
+    up again are kept.
+    """
 
     def __init__(self, path: str):
         import numpy as np
@@ -39,46 +44,118 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
         pieces = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(pieces.values()) + 1, bool)  # ids that end a word
         for piece, i in pieces.items():
             self.ends[i] = piece.endswith("</w>")
+        self.rows: dict[str, int] = {"": 0}
+        self.start, self.size, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.empty(0, self.kind)
+
+    def _gather(self, rows):
+        """The ids of the rows, one after the other, and how many each has."""
+        import numpy as np
 
-    def _learn(self, words: list[str]) -> None:
+        size = self.size[rows]
+        last = np.cumsum(size)
+        at = np.repeat(self.start[rows] - (last - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], size
+
+    def _add(self, pieces: list[str], ids, size) -> None:
+        import numpy as np
+
+        n = len(self.rows)
+        self.rows.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _words(self, words: list[str]) -> None:
         """Encode runs of letters, many at a time: each is one word of the tokenizer, so it ends where an end-of-word id stands."""
         import numpy as np
 
+        got, sizes, have, rest = [], [], [], []
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            (out,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(out.ids, self.kind)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
-                raw, size = ids.tobytes(), ids.itemsize
-                stop = (cut * size).tolist()
-                self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *stop], stop, strict=False)), strict=True))
+                got.append(ids)
+                sizes.append(np.diff(cut, prepend=0))
+                have += some
             else:
-                self._encode(some)
+                rest += some
+        if have:
+            self._add(have, np.concatenate(got), np.concatenate(sizes))
+        self._each(rest)
 
-    def _encode(self, texts: list[str]) -> None:
+    def _each(self, pieces: list[str]) -> None:
         import numpy as np
 
-        for p, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
+        if pieces:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            flat = np.fromiter((x for i in ids for x in i), self.kind)
+            self._add(pieces, flat, np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as the bytes of an array of self.kind."""
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        parts = [GAPS.split(t if BEYOND_LATIN.search(t) else t.lower()) for t in texts]
-        new = set().union(*parts) - known.keys()
-        worded = [(p, q) for p in new if (q := p.rstrip(MARKS)).isalpha() and (q.isascii() or not BEYOND_LATIN.search(q))]
-        self._learn(list({q for _, q in worded} - known.keys()))
-        tails = {p[len(q) :] for p, q in worded}
-        self._encode(list((new - {p for p, _ in worded} | tails) - known.keys()))
-        known.update([(p, known[q] + known[p[len(q) :]]) for p, q in worded if p is not q])
-        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+    def _learn(self, pieces: list[str]) -> None:
+        """Add rows for pieces without one; a word with marks behind it is put together from both."""
+        import numpy as np
+
+        known = self.rows
+        bare = [p.rstrip(MARKS) for p in pieces]
+        worded = [q.isalpha() and (q.isascii() or not BEYOND_LATIN.search(q)) for q in bare]
+        self._words(list({q for q, w in zip(bare, worded, strict=True) if w and q not in known}))
+        both = [(p, q, p[len(q) :]) for p, q, w in zip(pieces, bare, worded, strict=True) if w and p is not q and p not in known]
+        self._each(list({t for *_, t in both if t not in known} | {p for p, w in zip(pieces, worded, strict=True) if not w and p not in known}))
+        if both:
+            two = np.array([(known[q], known[t]) for _, q, t in both])
+            ids, size = self._gather(two.ravel())
+            self._add([p for p, *_ in both], ids, size.reshape(-1, 2).sum(1))
+
+    def _forget(self) -> None:
+        """Keep the rows that came up in two batches at least, the most frequent half of KNOWN at most."""
+        import numpy as np
+
+        least = max(2, int(np.partition(self.hits, -KNOWN // 2)[-KNOWN // 2]))
+        kept = np.flatnonzero(self.hits >= least)[: KNOWN // 2]
+        names, old = list(self.rows), self.hits
+        ids, size = self._gather(kept)
+        kept_names = [names[i] for i in kept.tolist()]
+        self.rows = {"": 0}
+        self.start, self.size, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.empty(0, self.kind)
+        full = kept != 0  # row 0 is the empty piece, which stays first
+        self._add([x for x in kept_names if x], ids, size[full])
+        self.hits[1:] = old[kept[full]] // 2
+
+    def __call__(self, texts):
+        """Ids of an Arrow array of texts, one text after the other, and how many each has; null is empty."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if len(self.rows) > KNOWN:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        small = pc.ascii_lower(texts)
+        # lowering could make a special token of a text that has none; the tokenizer lowers the rest itself
+        marked = pc.match_substring(small, "<|")
+        if pc.any(marked).as_py():
+            small = pc.if_else(marked, texts, small)
+        split = pc.ascii_split_whitespace(small)
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        rows = np.fromiter(map(self.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(rows < 0)):
+            fresh = [pieces[i] for i in new.tolist()]
+            self._learn(fresh)
+            rows[new] = np.fromiter(map(self.rows.__getitem__, fresh), np.int64, len(fresh))
+        self.hits[rows] += 1
+        ids, size = self._gather(rows[coded.indices.to_numpy()])
+        last = np.concatenate([[0], np.cumsum(size)])
+        return ids, np.diff(last[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
 #: Encoders of this process by path, so that the tasks of one worker share what they have learned.
@@ -95,6 +172,18 @@ def _open(path: str, mode: str):
     return store.open_input_file(at)
 
 
+def _pieces(batch, column: int):
+    """A batch cut at rows so that each piece holds about AT_ONCE bytes of that column (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // AT_ONCE
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _write(batches, folder, vocabulary, length, end):
     import os
 
@@ -106,7 +195,7 @@ def _write(batches, folder, vocabulary, length, end):
     if vocabulary not in ENCODERS:
         ENCODERS[vocabulary] = Encoder(vocabulary)
     encode = ENCODERS[vocabulary]
-    kind, last = encode.kind, np.array([end], encode.kind).tobytes()
+    kind = encode.kind
     part = TaskContext.get().partitionId()
     name = f"{folder}/{part:06d}-{uuid.uuid4().hex}"
     ids_type, mask_type = pa.list_(pa.from_numpy_dtype(kind), length), pa.list_(pa.bool_(), length)
@@ -124,12 +213,15 @@ def _write(batches, folder, vocabulary, length, end):
         if not files:
             sinks = [_open(f"{name}.arrow", "w"), _open(f"{name}.index.arrow", "w")]
             files = [sinks, pa.ipc.new_file(sinks[0], schema), pa.ipc.new_file(sinks[1], index)]
-        for i in range(0, b.num_rows, 512):
-            cut = b.slice(i, 512)
-            lists = encode([t or "" for t in cut.column(1).to_pylist()])
-            flat = np.frombuffer(b"".join(x for doc in lists for x in (doc, last)), kind)
-            counts = np.fromiter((len(x) // kind().itemsize + 1 for x in lists), np.int64, len(lists))
-            first = total + np.cumsum(counts) - counts
+        for cut in _pieces(b, 1):
+            ids, sizes = encode(cut.column(1))
+            counts = sizes + 1
+            ends = np.cumsum(counts) - 1
+            flat = np.full(len(ids) + len(sizes), end, kind)
+            body = np.ones(len(flat), bool)
+            body[ends] = False
+            flat[body] = ids
+            first = total + ends + 1 - counts
             files[2].write_batch(pa.record_batch([cut.column(0).cast(pa.int64()), pa.array(first), pa.array(counts)], schema=index))
             total += len(flat)
             rest = np.concatenate([rest, flat])
@@ -151,12 +243,17 @@ def _write(batches, folder, vocabulary, length, end):
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, partitions: int, length: int = LENGTH, end: int = END) -> list[tuple[int, str, int]]:
-    """Write the files; returns (part, name, number of ids) of each, one short row a file, in order."""
-    short_batches(docs.sparkSession)
+    """Write the files; returns (part, name, number of ids) of each, one short row a file, in order.
+
+    Rows are dealt by id, then by a hash of the text, then by place, so that no id (or null) has to fit one task, however many rows have it.
+    """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = src.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    src = src.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
+    ordered = src.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "text")
     done = ordered.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, length=length, end=end), "part long, name string, n_ids long")
-    return sorted(tuple(r) for r in done.collect())
+    with batches(docs.sparkSession):
+        return sorted(tuple(r) for r in done.collect())
 
 
 def _read(batches):
@@ -201,7 +298,8 @@ def store(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     return read(spark, write(docs, new_path(spark, "tokens"), vocabulary, partitions))
 
 
