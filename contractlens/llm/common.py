@@ -38,6 +38,33 @@ def batches(spark: SparkSession, size: int = BATCH_BYTES):
         spark.conf.set(key, before)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, and its memory counts beside the next one's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(f, **given):
+    """f over the batches of a task, with its memory released when the task ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches, **given)
+        finally:
+            release()
+
+    return run
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -122,11 +149,11 @@ def components(edges: DataFrame, name: str, one_task: int = BROADCAST_ROWS) -> D
     Union-find inside each partition first. Up to one_task edges after that are joined by one union-find; beyond, they never meet in one
     place: large-star and small-star rounds alternate over written tables until nothing changes. The per-node minimum is a partial aggregation and the join on a hot node can be split, so no group meets in one task.
     """
-    cur = written(edges.where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), name)
+    cur = written(edges.where("u <> v").mapInArrow(tidied(_forest), "u long, v long").distinct(), name)
     total = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     state = total(cur)
     if 0 < state[0] <= one_task:
-        new = written(cur.coalesce(1).mapInArrow(_forest, "u long, v long"), name)
+        new = written(cur.coalesce(1).mapInArrow(tidied(_forest), "u long, v long"), name)
         drop(cur)
         cur, state = new, (0,)
     while state[0]:

@@ -15,13 +15,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from functools import partial
 from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 
 LEAST, DENSITY = 0.8, 0.5
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
@@ -234,7 +233,7 @@ def _scan(batches, templates):
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id and its findings: array of (licence, start, end, coverage), places in words. No shuffle."""
     models = {n: split(t) for n, t in (templates or TEMPLATES).items()}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_scan, templates=models), "doc_id long, found array<struct<licence:string,start:long,end:long,coverage:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_scan, templates=models), "doc_id long, found array<struct<licence:string,start:long,end:long,coverage:double>>")
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

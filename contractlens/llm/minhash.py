@@ -8,14 +8,15 @@ an empty table gives an empty result; columns other than id and text are ignored
 from __future__ import annotations
 
 import math
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, small, table, written
+from .common import components, drop, small, table, tidied, written
 
 WORDS, SLOTS, ROWS = 5, 250, 5
+#: Shingles that are signed together, and words whose hashes a worker keeps: bounds of its memory.
+FLUSH, KNOWN_WORDS = 32_000, 100_000
 #: Bits of the parity vector of a set. Where two of them differ, the sets differ: an exact bound on how many shingles only one has.
 PARITY = 1024
 #: Fixed odd constants of the 64-bit mixing function.
@@ -28,7 +29,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 150_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -144,7 +145,7 @@ def _sign(batches, slots, rows, k):
             ids.append(i)
             sets.append(s := shingles(t.as_py(), hashes, k))
             size += len(s)
-            if size > 50_000:
+            if size > FLUSH:
                 yield flush(ids, sets)
                 ids, sets, size = [], [], 0
         if ids:
@@ -185,7 +186,7 @@ def _links(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFram
     a = wanted.select(F.col("doc_id").alias("u"), F.col("text").alias("x"))
     b = wanted.select(F.col("doc_id").alias("v"), F.col("text").alias("y"))
     both = pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "x", "y")
-    out = written(both.mapInArrow(partial(_verify, percent=percent, k=k), "u long, v long"), "mh-links")
+    out = written(both.mapInArrow(tidied(_verify, percent=percent, k=k), "u long, v long"), "mh-links")
     drop(ids)
     return out
 
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in some band with probability 1 - 2e-6.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(src.mapInArrow(partial(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, parity array<long>"), "mh-sig")
+    sig = written(src.mapInArrow(tidied(_sign, slots=slots, rows=rows, k=words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, parity array<long>"), "mh-sig")
     real = sig.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     reps = written(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "d1", "d2", "parity"), "mh-reps")
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sig.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     comp_id = F.coalesce("comp", "doc_id")
     result = out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(comp_id == F.col("doc_id"), F.lit(True)).alias("kept"))
-    result.work_tables = [reps, members, pairs, star, comp, left, rest, *([second] if second is not None else []), first]
+    result.work_tables = [sig, reps, members, pairs, star, comp, left, rest, own, *([second] if second is not None else []), first]
     return result
 
 

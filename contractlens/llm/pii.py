@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 
 BASE = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,7 +109,7 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and all spans found: array of (kind, start, end, score). No shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_scan), "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
 
 
 def digest(found) -> tuple:
@@ -130,4 +130,4 @@ def _digests(batches):
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).mapInArrow(_digests, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return scan(table(spark, sf_dir, "documents")).mapInArrow(tidied(_digests), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

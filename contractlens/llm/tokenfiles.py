@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from functools import partial
 from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, new_path, table
+from .common import batches, new_path, table, tidied
 
 LENGTH, BATCH, END = 2048, 256, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -27,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,!?;:"
 BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 #: Pieces of which a process keeps the ids, bytes of texts encoded together, bytes of text aimed at in a file.
-KNOWN, AT_ONCE, FILE_BYTES = 1_000_000, 4 << 20, 128 << 20
+KNOWN, AT_ONCE, FILE_BYTES = 400_000, 4 << 20, 128 << 20
 
 
 class Encoder:
@@ -251,7 +250,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, partitions: int, length
     src = src.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
     ordered = src.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    done = ordered.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, length=length, end=end), "part long, name string, n_ids long")
+    done = ordered.mapInArrow(tidied(_write, folder=folder, vocabulary=vocabulary, length=length, end=end), "part long, name string, n_ids long")
     with batches(docs.sparkSession):
         return sorted(tuple(r) for r in done.collect())
 
@@ -289,7 +288,7 @@ def read(spark: SparkSession, files: list[tuple[int, str, int]]) -> DataFrame:
         rows.append((name, base))
         base += n
     names = spark.createDataFrame(rows, "name string, base long")
-    return names.repartition(max(1, len(rows))).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, row_length int")
+    return names.repartition(max(1, len(rows))).mapInArrow(tidied(_read), "doc_id long, start long, n_tokens long, ids_crc32 long, file string, row_length int")
 
 
 def store(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlens.llm import decontam, minhash, mixing, tokenfiles, toxicity
-from contractlens.llm.common import small, table, written
+from contractlens.llm.common import drop, small, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects."""
-    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+    """Drop the documents that the classifier rejects. Written here, so that whole texts reach Python in batches of bounded bytes."""
+    return written(toxicity.reject(docs, table(spark, sf_dir, "labels")), "pipeline-clean")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, the one with the least id."""
-    marks = written(minhash.near_duplicates(docs).select("doc_id", "kept"), "pipeline-marks")
+    found = minhash.near_duplicates(docs)
+    marks = written(found.select("doc_id", "kept"), "pipeline-marks")
+    drop(*found.work_tables)
     gone = written(marks.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
     left = docs.join(small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
     again = written(marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "pipeline-again")
