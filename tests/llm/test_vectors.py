@@ -36,6 +36,43 @@ def test_recall_and_precision(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_with_equal_ids_are_vectors_of_their_own(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 0.01]), (9, [0.0, 1.0]), (10, [0.01, 1.0]), (None, [1.0, 0.0]), (3, None), (3, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], "vec_id int, embedding array<double>, node int, cell string, v string").repartition(3)
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect())
+    assert got == [("10", 2, 7, False), ("3", 0, 3, True), ("3", 0, 3, True), ("7", 1, 7, True), ("7", 2, 7, True), ("8", 1, 7, False), ("9", 2, 7, False), ("None", 0, None, True)]
+
+
+def test_ties_at_the_threshold(spark):
+    at = np.sqrt(1 - 0.95**2)
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.95, at, 0.0]), (3, [0.95 - 1e-9, np.sqrt(1 - (0.95 - 1e-9) ** 2), 0.0])]
+    want = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
+def test_cells_of_two_lists(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 12))
+    x = np.vstack([base, base + rng.normal(size=base.shape) * 0.08, base[:50] + rng.normal(size=(50, 12)) * 0.08]).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    want = brute(rows)
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), cell=12, cells=6)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    assert all(got[i][0] <= n for i, (n, _) in want.items())
+    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
+def test_greedy_search_reaches_what_brute_force_finds():
+    rng = np.random.default_rng(5)
+    x = vectors.unit(np.vstack([rng.normal(size=(400, 24)), rng.normal(size=(1, 24)) + rng.normal(size=(60, 24)) * 0.1])).astype(np.float32)
+    graph = vectors.pruned_graph(x)
+    r, m = vectors.search(x, graph, [0, 100, 200, 300, 430], x[:461], 0.95)
+    true = set(zip(*np.nonzero(x @ x.T >= 0.95), strict=True))
+    got = set(zip(r.tolist(), m.tolist(), strict=True))
+    assert got <= {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.95 - 2e-5), strict=True)} and len(got) >= 0.95 * len(true) and len(got) == len(r)
+
+
 def test_a_link_found_in_the_second_shared_cell_alone_counts(spark, monkeypatch):
     import pyarrow as pa
 
