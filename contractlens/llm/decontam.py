@@ -49,11 +49,13 @@ def _marked(docs: DataFrame, items: DataFrame, size: int, least_items: int) -> D
     wins = written(pairs.select("wid", "wid2", "win").distinct(), "dc-distinct")
     vocab = written(wins.select(F.explode("win").alias("word")).distinct(), "dc-words")
     counts = docs.select(F.explode(words(F.col("text"))).alias("word")).join(small(vocab), "word").groupBy("word").agg(F.count("*").alias("n"))
-    rarity = small(written(vocab.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")), "dc-rarity"))
+    ranks = written(vocab.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")), "dc-rarity")
+    rarity = small(ranks)
     # the rarest word of each window and the first place where the window has it
     ranked = wins.select("wid", "wid2", F.size("win").alias("k"), F.posexplode("win").alias("off", "word")).join(rarity, "word")
     prefix = ranked.groupBy("wid", "wid2", "k").agg(F.min(F.struct("n", "word", "off")).alias("m")).select("wid", "wid2", "k", F.col("m.word").alias("word"), F.col("m.off").alias("off"))
-    prefix = small(written(prefix, "dc-prefix"))
+    rarest = written(prefix, "dc-prefix")
+    prefix = small(rarest)
     at = docs.select(*keys, words(F.col("text")).alias("w")).select("k1", "k2", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
     begin = F.col("pos") - F.col("off")
     found = at.join(prefix, "word").where((begin >= 0) & (begin + F.col("k") <= F.col("n"))).select("k1", "k2", begin.alias("s"), "wid", "wid2")
@@ -63,6 +65,7 @@ def _marked(docs: DataFrame, items: DataFrame, size: int, least_items: int) -> D
     true = F.filter("cand", lambda c: F.slice(F.col("w"), c["s"] + 1, F.size(c["win"])) == c["win"])
     ends = F.array_sort(F.transform(true, lambda c: F.struct(c["s"].alias("s"), (c["s"] + F.size(c["win"])).alias("e"), c["wid"].alias("wid"), c["wid2"].alias("wid2"))))
     checked = written(full.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), F.coalesce(ends, F.array().cast("array<struct<s:int,e:int,wid:bigint,wid2:int>>")).alias("hits")), "dc-checked")
+    tables = [pairs, wins, vocab, ranks, rarest, checked]
     # covered words: fold over the sorted stretches
     start = F.struct(F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("hits", start, lambda a, h: F.struct(F.greatest(a["end"], h["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["e"] - F.greatest(h["s"], a["end"]))).cast("long").alias("n")))["n"]
@@ -73,7 +76,9 @@ def _marked(docs: DataFrame, items: DataFrame, size: int, least_items: int) -> D
     out = checked.select("doc_id", "k1", "k2", "n_words", covered.alias("n_hit"), whole.alias("whole")).join(named, ["k1", "k2"], "left")
     n_items = F.coalesce("n_items", F.lit(0).cast("long"))
     none = F.sha2(F.lit(""), 256)
-    return out.select("doc_id", "k1", "k2", "n_words", "n_hit", "whole", n_items.alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
+    out = out.select("doc_id", "k1", "k2", "n_words", "n_hit", "whole", n_items.alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
+    out.work_tables = tables
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
@@ -81,8 +86,9 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: in
 
     An item shorter than a window may be an everyday phrase, so one alone does not condemn a text; size words in a row do.
     """
-    bad = _marked(docs, items, size, least_items).where(F.col("contaminated") | F.col("whole")).select("k1", "k2").distinct()
-    bad = written(bad, "dc-bad")
+    marked = _marked(docs, items, size, least_items)
+    bad = written(marked.where(F.col("contaminated") | F.col("whole")).select("k1", "k2").distinct(), "dc-bad")
+    drop(*marked.work_tables)
     k1, k2 = row_key(docs["doc_id"], docs["text"])
     bad = small(bad)
     return docs.join(bad, (k1 == bad["k1"]) & (k2 == bad["k2"]), "left_anti")
@@ -92,6 +98,14 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def decontam_joined_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of two neighbouring items each, so that every one is contaminated by two at least."""
+    items = table(spark, sf_dir, "benchmark")
+    after = items.select((F.col("item_id") - 1).alias("doc_id"), F.col("text").alias("rest"))
+    docs = items.withColumnRenamed("item_id", "doc_id").join(after, "doc_id").select("doc_id", F.concat_ws(" ", "text", "rest").alias("text"))
+    return decontaminate(docs, items)
+
+
 ORACLE_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -111,3 +125,5 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+JOINED = "(SELECT a.item_id AS doc_id, a.text || ' ' || b.text AS text FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+ORACLES = {"op5_decontam": ORACLE_SQL, "decontam_joined_items": ORACLE_SQL.replace("FROM documents", f"FROM {JOINED}")}

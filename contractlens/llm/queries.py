@@ -16,6 +16,8 @@ MODULES = {
     "op8_minhash": "minhash",
     "op9_licences": "licences",
     "op10_mixing": "mixing",
+    "sharding_small_limit": "sharding",
+    "decontam_joined_items": "decontam",
 }
 
 
@@ -26,6 +28,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, module in MODULES.items():
-        if sql := getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None):
+        if sql := getattr(import_module(f"{__package__}.{module}"), "ORACLES", {}).get(name):
             out[name] = sql
     return out

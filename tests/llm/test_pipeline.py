@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from contractlens.llm import decontam, mixing, sharding
@@ -86,22 +87,40 @@ def test_mix_against_python(spark):
 
 
 def test_shards_fit_and_split_only_where_needed(spark):
-    rows = [(i, "x" * (i % 300)) for i in range(600)] + [(9, "y" * 5000), (9, "z" * 100), (None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    out = sharding.shard(df, limit=4000).collect()
-    assert len(out) == len(rows)
-    by = {}
+    rows = [(i, "x" * (i % 300)) for i in range(600)] + [(9, "y" * 5000), (9, "z" * 100), (None, None)] + [(77, "same" * 50)] * 90 + [(None, f"null {i} " * 20) for i in range(70)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, try int, shard_bytes int, n_bytes_here int").repartition(4)
+    out = sharding.shard(df, limit=4000)
+    assert out.columns == ["doc_id", "text", "try", "n_bytes_here", *sharding.ADDED[:0], "shard_bits", "shard_prefix", "shard_bytes", "shard_piece"]
+    out = out.collect()
+    assert sorted((str(r.doc_id), r.text) for r in out if r.text) == sorted((str(i), t) for i, t in rows if t) and len(out) == len(rows)
+    by, pieces = {}, {}
     for r in out:
         by.setdefault((r.shard_bits, r.shard_prefix), []).append(r)
+        pieces.setdefault((r.shard_bits, r.shard_prefix, r.shard_piece), []).append(r)
+    for (bits, _, piece), rs in pieces.items():
+        total = sum(len(r.text or "") for r in rs)
+        assert {r.shard_bytes for r in rs} == {total} and (total <= 4000 or sum(bool(r.text) for r in rs) == 1) and (piece == 0 or bits == 30)
     for (bits, prefix), rs in by.items():
         total = sum(len(r.text or "") for r in rs)
-        assert total == rs[0].shard_bytes and (total <= 4000 or max(len(r.text or "") for r in rs) > 2000 or bits == 30)
         if bits:
             sibling = sum(sum(len(r.text or "") for r in x) for (b, p), x in by.items() if b >= bits and p >> (b - bits) == prefix ^ 1)
             assert total + sibling > 4000
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_mix_with_many_sources_equals_mix_in_one_task(spark):
+    rnd = random.Random(12)
+    names = [f"s{i}" for i in range(60)] + [None, "É", "z"]
+    rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, 200])) if i % 17 else None, rnd.choice(names), "a", 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copies string, mix_rate double")
+    one, many = (sorted(map(str, mixing.mix(df, one_task=n).collect())) for n in (10**6, 0))
+    assert one == many and len(one) == len(rows)
+    out = mixing.emit(df)
+    assert out.columns == df.columns and {r.mix_copies for r in out.collect()} == {"a"}
+    assert mixing.mix(df.limit(0)).count() == mixing.mix(df.limit(0), one_task=0).count() == 0
+    assert mixing.mix(df.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(rows)
+
+
 def test_decontaminate_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A b, c D e f g h i"), (2, None), (None, "q r"), (4, "x q R y q r"), (4, "x q R y q r")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "Q r"), (3, ""), (4, None), (None, "b c d e f g h i")], "item_id long, text string")
