@@ -2,8 +2,8 @@
 
 A 200-byte window is named by its anchor: the 48-byte gram in it with the least hash, leftmost of equals. Equal windows have equal
 anchors, so windows dealt by anchor need to meet only those of the same anchor. Runs of windows with one anchor place form a row (352
-bytes at most). Only rows whose anchor occurs twice go on; equal rows are counted, and of anchors with different rows one copy of each
-goes to a shard. A shard sorts its suffixes by Larsson-Sadakane doubling (only groups that are not yet sorted are refined), takes common
+bytes at most). Only rows whose anchor occurs twice go on; equal rows (by a 128-bit digest of their bytes) are counted, and of anchors with
+different rows one copy of each goes to a shard; where all rows of an anchor are equal, their count says all there is to know. A shard sorts its suffixes by Larsson-Sadakane doubling (only groups that are not yet sorted are refined), takes common
 prefixes by Kasai's rule, and marks windows that share 200 bytes with a neighbour. An anchor with too many rows for one shard is split;
 its shards' sorted windows are merged slot by slot with binary searches.
 
@@ -18,7 +18,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop, row_key, table, written
+from .common import BROADCAST_ROWS, drop, row_key, table, tidied, written
 
 WINDOW, GRAM = 200, 48
 #: Bytes a slice is scanned in, rows a shard aims at, distinct rows of one anchor above which it is split, most bits of the anchor filter.
@@ -133,7 +133,7 @@ def _anchors(batches, window, gram):
 
 
 def _repeated(batches, window, gram, bits, power):
-    """Rows whose anchor is in the filter: anchor, text key, offset, number of windows, digest. Their bytes stay in the text."""
+    """Rows whose anchor is in the filter: anchor, 128-bit digest of their bytes, text key, offset, number of windows. Their bytes stay in the text."""
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -146,22 +146,22 @@ def _repeated(batches, window, gram, bits, power):
             on = np.flatnonzero((seen[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1))
             if not len(on):
                 continue
-            d = np.fromiter((xxhash.xxh3_64_intdigest(buf[x : y + window - 1]) for x, y in zip(f[on].tolist(), e[on].tolist(), strict=True)), np.uint64, len(on))
+            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(buf[x : y + window - 1]) for x, y in zip(f[on].tolist(), e[on].tolist(), strict=True)), np.int64).reshape(-1, 2)
             t = text[on]
-            yield pa.RecordBatch.from_arrays([pa.array(a[on].view(np.int64)), pa.array(d.view(np.int64)), pa.array(k1[t]), pa.array(k2[t]), pa.array(off[on]), pa.array((e - f)[on].astype(np.int32))], ["a", "d", "k1", "k2", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[on].view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(k1[t]), pa.array(k2[t]), pa.array(off[on]), pa.array((e - f)[on].astype(np.int32))], ["a", "d", "d2", "k1", "k2", "s", "n"])
 
 
 def _fetch(batches, window):
     """The bytes of the rows that a text was asked for."""
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [*[pa.int64()] * 5, pa.binary()]
     for b in batches:
         for raw, wanted in zip(_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-            rows = [(w["a"], w["d"], w["c"], w["pieces"], raw[w["s"] : w["s"] + w["n"] + window - 1]) for w in wanted]
+            rows = [(w["a"], w["d"], w["d2"], w["c"], w["pieces"], raw[w["s"] : w["s"] + w["n"] + window - 1]) for w in wanted]
             for i in range(0, len(rows), 5_000):
                 part = list(zip(*rows[i : i + 5_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, kinds, strict=True)], ["a", "d", "c", "pieces", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, kinds, strict=True)], ["a", "d", "d2", "c", "pieces", "raw"])
 
 
 def eights(buf):
@@ -285,17 +285,17 @@ def _sorted(group, window):
     import pyarrow as pa
     import xxhash
 
-    names = ["a", "d", "x", "y", "slot", "w1", "w2"]
+    names = ["a", "d", "d2", "x", "y", "slot", "w1", "w2"]
     raws, counts = group.column("raw").to_pylist(), group.column("c").to_numpy()
-    a, d = (group.column(c).to_numpy() for c in ("a", "d"))
+    a, d, d2 = (group.column(c).to_numpy() for c in ("a", "d", "d2"))
     rows, offs, hit = repeated_windows(raws, counts, window)
     r, x, y = _ranges(rows[hit], offs[hit], window) if hit.any() else (np.empty(0, np.int64),) * 3
     none = np.full(len(r), -1)
-    cols = [a[r], d[r], x, y, none, none, none]
+    cols = [a[r], d[r], d2[r], x, y, none, none, none]
     if group.column("pieces")[0].as_py() > 1:
         w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raws[i][o : o + window]) for i, o in zip(rows.tolist(), offs.tolist(), strict=True)), np.int64).reshape(-1, 2)
         slot = (np.ascontiguousarray(w[:, 0]).view(np.uint64) % np.uint64(4096)).astype(np.int64)
-        cols = [np.concatenate(p) for p in zip(cols, [a[rows], d[rows], offs, offs + window, slot, w[:, 0], w[:, 1]], strict=True)]
+        cols = [np.concatenate(p) for p in zip(cols, [a[rows], d[rows], d2[rows], offs, offs + window, slot, w[:, 0], w[:, 1]], strict=True)]
     return pa.table([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in cols], names)
 
 
@@ -307,7 +307,7 @@ def _cross(group, window):
     w = np.rec.fromarrays([group.column("w1").to_numpy(), group.column("w2").to_numpy()], names="p,q")
     run = np.sort(w)
     many = np.searchsorted(run, w, side="right") - np.searchsorted(run, w, side="left") >= 2
-    return group.select(["a", "d", "x", "y"]).filter(pa.array(many))
+    return group.select(["a", "d", "d2", "x", "y"]).filter(pa.array(many))
 
 
 def _cut(batches):
@@ -340,7 +340,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: i
 
     spark = docs.sparkSession
     src = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").where(F.octet_length("text") >= window)
-    counted = src.select("text").mapInArrow(partial(_anchors, window=window, gram=gram), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    counted = src.select("text").mapInArrow(tidied(_anchors, window=window, gram=gram), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
     twice = written(counted.where("n > 1").select("a"), "sub-anchors")
     # a filter of bounded size; when it fills up it only lets more rows through
     power = min(FILTER_BITS, max(10, (16 * twice.count() + 1).bit_length()))
@@ -350,26 +350,26 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: i
     bits = np.zeros(1 << (power - 6), np.uint64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)
-    rows = written(src.mapInArrow(partial(_repeated, window=window, gram=gram, bits=shared, power=power), "a long, d long, k1 long, k2 long, s long, n int"), "sub-rows")
+    rows = written(src.mapInArrow(tidied(_repeated, window=window, gram=gram, bits=shared, power=power), "a long, d long, d2 long, k1 long, k2 long, s long, n int"), "sub-rows")
     drop(twice)
     # equal rows (same anchor, same digest) are one kind, with one place that has its bytes
-    kinds = written(rows.groupBy("a", "d").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "s", "n")).alias("at")), "sub-kinds")
+    kinds = written(rows.groupBy("a", "d", "d2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "s", "n")).alias("at")), "sub-kinds")
     per = kinds.groupBy("a").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    marked = written(kinds.join(per, "a").select("a", "d", "c", "kinds", "at.*"), "sub-marked")
+    marked = written(kinds.join(per, "a").select("a", "d", "d2", "c", "kinds", "at.*"), "sub-marked")
     drop(kinds)
     several = marked.where("kinds > 1").withColumn("pieces", F.ceil(F.col("kinds") / hot_rows))
-    wanted = written(several.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "d", "c", "pieces", "s", "n")).alias("wanted")), "sub-wanted")
+    wanted = written(several.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "d", "d2", "c", "pieces", "s", "n")).alias("wanted")), "sub-wanted")
     keys = wanted.select("k1", "k2")
     keys = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
     texts = src.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    distinct = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(partial(_fetch, window=window), "a long, d long, c long, pieces long, raw binary")
+    distinct = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(tidied(_fetch, window=window), "a long, d long, d2 long, c long, pieces long, raw binary")
     shards = max(1, -(-several.count() // SHARD_ROWS))
     shard = F.when(F.col("pieces") > 1, F.xxhash64("a", F.pmod("d", F.col("pieces")))).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
-    found = written(distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(partial(_sorted, window=window), "a long, d long, x long, y long, slot long, w1 long, w2 long"), "sub-found")
-    split = found.where("slot >= 0").groupBy("a", "slot").applyInArrow(partial(_cross, window=window), "a long, d long, x long, y long")
-    whole = marked.where("kinds = 1").select("a", "d", F.lit(0).cast("long").alias("x"), (F.col("n") + (window - 1)).cast("long").alias("y"))
-    parts = whole.unionByName(found.where("slot < 0").select("a", "d", "x", "y")).unionByName(split)
-    hit = rows.select("a", "d", "k1", "k2", "s").join(parts, ["a", "d"]).select("k1", "k2", (F.col("s") + F.col("x")).alias("x"), (F.col("s") + F.col("y")).alias("y"))
+    found = written(distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(partial(_sorted, window=window), "a long, d long, d2 long, x long, y long, slot long, w1 long, w2 long"), "sub-found")
+    split = found.where("slot >= 0").groupBy("a", "slot").applyInArrow(partial(_cross, window=window), "a long, d long, d2 long, x long, y long")
+    whole = marked.where("kinds = 1").select("a", "d", "d2", F.lit(0).cast("long").alias("x"), (F.col("n") + (window - 1)).cast("long").alias("y"))
+    parts = whole.unionByName(found.where("slot < 0").select("a", "d", "d2", "x", "y")).unionByName(split)
+    hit = rows.select("a", "d", "d2", "k1", "k2", "s").join(parts, ["a", "d", "d2"]).select("k1", "k2", (F.col("s") + F.col("x")).alias("x"), (F.col("s") + F.col("y")).alias("y"))
     return written(hit.groupBy("k1", "k2").agg(F.collect_set(F.struct("x", "y")).alias("spans")), "sub-spans")
 
 
@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
         both = rest.unionByName(keyed.join(keys, ["k1", "k2"], "left_semi").join(spans, ["k1", "k2"]))
     else:
         both = keyed.join(spans, ["k1", "k2"], "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select("doc_id", "text", "spans").mapInArrow(tidied(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are words and word beginnings (of 3 to 8 letters) that the training rows tie to either label, and patterns (shouting, runs
-of exclamation marks, links). The label model estimates each voter's hit rates under both classes by expectation maximization, with the
+Voters are lexicons of insults, contempt, threats and dismissals, patterns (shouting, runs of marks, links, masked words and others), and
+words and word beginnings (of 3 to 8 letters) that the training rows tie to either label. The label model estimates each voter's hit rates under both classes by expectation maximization, with the
 given labels as one more voter of estimated accuracy, and discounts voters by their correlation within a class. A logistic regression on
 the votes is fitted to the posteriors. Training takes at most TRAIN_ROWS labelled rows, chosen by hash, whose held-out remainder is not
 HELD_OUT; labels, lang, source and doc_id are never inputs of a score.
@@ -13,19 +13,32 @@ without any labelled rows of both classes every score is the prior; repeated row
 from __future__ import annotations
 
 import re
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, small, table, written
+from .common import batches, small, table, tidied, written
 
 TRAIN_ROWS, VOTERS, FOLDS, HELD_OUT, REJECT = 4_000, 400, 3, 1, 0.7
 STEMS = (3, 4, 5, 6, 7, 8)
-#: A lexicon voter's words, common English insults.
-LEXICON = frozenset("idiot stupid moron loser scum trash pathetic worthless disgusting clown dumb fool garbage ugly jerk filthy".split())
+#: Lexicon voters, each with its words: insults, contempt, threats, dismissals.
+LEXICONS = {
+    "!insult": "idiot stupid moron loser scum trash clown dumb fool garbage jerk imbecile cretin dimwit halfwit buffoon".split(),
+    "!contempt": "pathetic worthless disgusting ugly filthy useless vile despicable repulsive revolting miserable hopeless".split(),
+    "!threat": "kill hurt destroy smash beat burn crush choke suffer bleed".split(),
+    "!dismissal": "shut silence begone vanish disappear leave".split(),
+}
 WORD = re.compile(r"[^\W\d_]+")
-PATTERNS = (("!shout", re.compile(r"(?:\b[A-Z]{3,}\b\W+){3}")), ("!marks", re.compile(r"!!")), ("!link", re.compile(r"https?://")))
+#: Pattern voters: shouting, runs of marks, links, words masked with signs, words of address, drawn-out letters.
+PATTERNS = (
+    ("!shout", re.compile(r"(?:\b[A-Z]{3,}\b\W+){3}")),
+    ("!marks", re.compile(r"!!|\?\?")),
+    ("!link", re.compile(r"https?://")),
+    ("!masked", re.compile(r"\b[A-Za-z][*#@$%]{2,}[a-z]?\b|\b[A-Za-z]+\*+[a-z]+")),
+    ("!address", re.compile(r"\b[Yy]ou(?:'re| are)? (?:a|an|all|such|so|people)\b")),
+    ("!drawn", re.compile(r"([A-Za-z])\1\1\1")),
+)
+IN_LEXICONS = {w: [name for name, words in LEXICONS.items() if w in words] for words in LEXICONS.values() for w in words}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -34,7 +47,7 @@ def held_out(doc_id: Column) -> Column:
 
 def units(word: str) -> list[str]:
     """A word as voters see it: itself, and its beginnings marked with a star."""
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n), *(["!lexicon"] if word in LEXICON else [])]
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n), *IN_LEXICONS.get(word, ())]
 
 
 def features(text: str | None) -> set[str]:
@@ -104,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[d
     have = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(given), "id").select("text", "y", order.alias("o"), F.xxhash64("text").alias("t"))
     # repeated ids may give more rows than labels; the first by the same order count
     with batches(docs.sparkSession):
-        rows = have.mapInArrow(_hashed, "f array<long>, y int, o long, t long").orderBy("o", "t", "y").limit(most).toArrow()
+        rows = have.mapInArrow(tidied(_hashed), "f array<long>, y int, o long, t long").orderBy("o", "t", "y").limit(most).toArrow()
     y = rows.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         prior = (y.sum() + 1) / (len(y) + 2)
@@ -160,7 +173,7 @@ def _score(batches, weights, bias):
 def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """docs' columns but with score for text: doc_id, score. No shuffle once the classifier is fitted."""
     weights, bias = train(docs, labels, most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, weights=weights, bias=bias), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_score, weights=weights, bias=bias), "doc_id long, score double")
 
 
 def _keep(batches, weights, bias, at, limit):
@@ -176,7 +189,7 @@ def _keep(batches, weights, bias, at, limit):
 def reject(docs: DataFrame, labels: DataFrame, limit: float = REJECT) -> DataFrame:
     """docs without the rows that score limit or more; all columns stay."""
     weights, bias = train(docs, labels)
-    return docs.mapInArrow(partial(_keep, weights=weights, bias=bias, at=docs.columns.index("text"), limit=limit), docs.schema)
+    return docs.mapInArrow(tidied(_keep, weights=weights, bias=bias, at=docs.columns.index("text"), limit=limit), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
