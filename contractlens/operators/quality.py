@@ -88,3 +88,16 @@ def report(df: DataFrame, fields: list[Field], examples: int = 5) -> DataFrame:
 def failing_examples(df: DataFrame, name: str, c: Constraint, most: int = 5) -> DataFrame:
     """value: the smallest distinct failing values of one check, at most so many (a top-k: partial per task)."""
     return df.where(failing(df, name, c)).select(F.col(f"`{name}`").alias("value")).distinct().orderBy("value").limit(most)
+
+
+def conform(df: DataFrame, fields: list[Field]) -> DataFrame:
+    """df with each declared column in its declared type wherever that changes no value, found by one aggregation over all of them."""
+    from ..sources.files import _ddl
+
+    kinds = {f.name: _ddl(f.type) for f in fields if f.name in df.columns and f.type}
+    kinds = {n: k for n, k in kinds.items() if df.schema[n].dataType.simpleString() != k}
+    if not kinds:
+        return df
+    back = lambda n, k: F.col(f"`{n}`").try_cast(k).try_cast(df.schema[n].dataType)
+    lost = df.agg(*[F.count_if(~F.col(f"`{n}`").eqNullSafe(back(n, k))).alias(n) for n, k in kinds.items()]).first()
+    return df.withColumns({n: F.col(f"`{n}`").cast(k) for n, k in kinds.items() if not lost[n]})

@@ -31,7 +31,7 @@ class Expr:
 
 @dataclass(frozen=True, eq=False)
 class Plan:
-    """kind: read, write, project, filter, join, aggregate, union, sort, limit, window, set, generate, expand, unknown.
+    """kind: read, write, project, filter, join, aggregate, union, sort, limit, distinct, window, set, generate, expand, unknown.
 
     A DAG compared by identity; walk it with nodes(), which visits a shared node once.
     """

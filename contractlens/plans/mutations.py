@@ -7,10 +7,6 @@ import json
 from .catalyst import Translator, _tree
 from .model import Expr
 
-#: Commands that drop or empty data.
-DESTRUCTIVE = ("DropTable", "DropTableCommand", "TruncateTable", "TruncateTableCommand", "TruncatePartition", "DropPartitions", "AlterTableDropPartitionCommand", "DropNamespace", "DropDatabaseCommand")
-
-
 def _condition(value) -> Expr | None:
     got = Translator([]).exprs(value)
     return got[0] if got else None
@@ -60,17 +56,20 @@ def scope(mutation: dict) -> str:
     return "Unconditional" if c is None or (c.kind == "literal" and str(c.value).lower() == "true") else "Conditional"
 
 
-def destructive_verdict(command: str, target: str, declared: dict[str, str | None], delete_rule: bool) -> str | None:
-    """Why a dropping or emptying command is refused, or None. declared: location of each output -> its save mode."""
+def destructive_verdict(command: str, target: str, declared: dict[str, str | None], rules) -> tuple[str, str] | None:
+    """(finding, why) that a dropping or emptying command is refused, or None. declared: location of each output -> its save mode.
+
+    rules: the contract's rule types, or whether a delete rule stands.
+    """
     from ..contract import same_location
 
     if command in ("DropNamespace", "DropDatabaseCommand"):
-        return "dropping a whole namespace is refused"
-    mode = next((m or "" for loc, m in declared.items() if same_location(loc, target)), None)
+        return "UNVERIFIABLE_WRITE", "dropping a whole namespace is refused"
+    mode = next((m or "overwrite" for loc, m in declared.items() if same_location(loc, target)), None)
     if mode is None:
-        return f"{target} is not a declared output"
+        return "UNVERIFIABLE_WRITE", f"{target} is not a declared output"
     if mode != "overwrite":
-        return f"{target} may only be replaced under save mode overwrite"
-    if delete_rule and "Partition" not in command:
-        return "a delete rule forbids emptying the whole table"
+        return "OUTPUT_SAVE_MODE_MISMATCH", f"{target} may only be replaced under save mode overwrite, it is declared {mode}"
+    if (rules is True or (rules and "forbid_unconditional_delete" in rules)) and "Partition" not in command:
+        return "RULE_UNCONDITIONAL_DELETE", "a delete rule forbids emptying the whole table"
     return None

@@ -361,12 +361,12 @@ outputs:
 
 
 def queries() -> dict:
-    from . import engine_queries
+    from . import engine_queries, verdict_queries
 
-    return QUERIES | engine_queries.QUERIES
+    return QUERIES | engine_queries.QUERIES | verdict_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import engine_queries
+    from . import engine_queries, verdict_queries
 
-    return ORACLES | engine_queries.ORACLES
+    return ORACLES | engine_queries.ORACLES | verdict_queries.ORACLES

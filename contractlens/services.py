@@ -5,11 +5,15 @@ from __future__ import annotations
 import argparse
 import ast
 import json
+import os
 import sys
 import urllib.request
 from dataclasses import replace
 
-from .contract import Contract, merge_drafts, parse, parse_type, policy_findings, same_location, to_yaml, validate
+from .capabilities import shortfalls
+from .checks import Violation
+from .contract import Contract, merge_drafts, parse, parse_type, policy_findings, same_location, to_yaml, unknown_keys, validate
+from .policy import evaluate, expiring, guarantees, parse_policy, validate_policy
 
 
 class NotResolved(Exception):
@@ -71,6 +75,38 @@ def setting(spark, name: str, env: dict[str, str]):
     return spark.conf.get(key, None) or env.get(var, default)
 
 
+def options_of(conf, given: dict) -> dict:
+    """Options of a run: what is given, then what the settings switch on. conf: anything with get(key, default)."""
+    out = dict(given)
+    for name, (key, var, default) in SETTINGS.items():
+        value = conf.get(key, None) or os.environ.get(var, default)
+        if value is None or name in out:
+            continue
+        out[name] = value.strip().lower() == "true" if value.strip().lower() in ("true", "false") else value
+    if isinstance(out.get("orgPolicy"), str):
+        out["policies"] = [parse_policy(open(p.strip()).read()) for p in out["orgPolicy"].split(",")]
+    return out
+
+
+def properties(path: str) -> dict[str, str]:
+    """key=value lines; # and ! begin comments."""
+    lines = [x.strip() for x in open(path) if x.strip() and x.strip()[0] not in "#!"]
+    return {k.strip(): v.strip() for k, _, v in (x.partition("=") for x in lines)}
+
+
+def resolved_contract(conf, options: dict) -> Contract | None:
+    """The contract that the settings name, from a file or a registry, its locations resolved; None where they name none."""
+    if not options.get("contract"):
+        return None
+    c = load(options["contract"], options.get("registryUrl"))
+    known = properties(options["locationMap"]) if options.get("locationMap") else options.get("locationUrl")
+    refers = any(d.location.startswith("ref://") for d in (*c.inputs, *c.outputs))
+    if refers and not known:
+        raise NotResolved("the contract has ref:// locations, but neither locationMap nor locationUrl is set")
+    token = os.environ.get(options["locationTokenEnv"]) if options.get("locationTokenEnv") else None
+    return resolve_locations(c, known, token) if refers else c
+
+
 def cross_contract(contracts: list[Contract]) -> list[tuple[str, str, str]]:
     """(contract, dataset, finding): outputs that others read must not be declared as raw sources there, and must keep their types."""
     out = []
@@ -80,7 +116,7 @@ def cross_contract(contracts: list[Contract]) -> list[tuple[str, str, str]]:
             for maker, o in made:
                 if maker.id == c.id or not same_location(o.location, d.location):
                     continue
-                if o.role == "DATA_ASSET" and d.role == "SOURCE":
+                if o.role in (None, "DATA_ASSET") and d.role == "SOURCE":
                     out.append((c.id, d.name, f"is an output of {maker.id} but declared as a source"))
                 have = {f.name: f for f in o.schema}
                 for f in d.schema:
@@ -120,39 +156,24 @@ def scan_code(source: str) -> list[tuple[int, str, str]]:
     return sorted(out)
 
 
-#: What the engine supports, and how far: full, partial (with a reason) or none.
-CAPABILITIES = {
-    "outputLocation": "full",
-    "outputSchema": "full",
-    "outputFormat": "full",
-    "saveMode": "full",
-    "partitioning": "full",
-    "csvOptions": "full",
-    "inputs": "full",
-    "lineage": "full",
-    "sensitivity": "full",
-    "fingerprint": "full",
-    "staticDataQuality": "full",
-    "runtimeDataQuality": "full",
-    "roles": "full",
-    "planRules": "full",
-    "rowMutationRules": "partial: classification of analyzed or parsed commands; no lakehouse connector is installed to run them",
-    "streamingWrites": "full",
-    "catalogRegistration": "partial: as stated by the caller",
-    "transactionalPublish": "partial: by rename; not for databases",
-}
+def ungoverned(source: str, name: str = "") -> list[Violation]:
+    """What a code scan finds, as findings; a line that says `contractlens: allow` is let be."""
+    lines = source.splitlines()
+    return [Violation("UNGOVERNED_DATA_ACCESS", f"{name}:{line}: {call} goes round the contract", None, name, None, code) for line, code, call in scan_code(source) if "contractlens: allow" not in lines[line - 1]]
 
 
-def unsupported(c: Contract) -> list[str]:
+def unsupported(c: Contract, options: dict | None = None) -> list[str]:
     """Features that a contract relies on and the engine has only in part or not at all."""
-    used = {"catalogRegistration": any(d.catalog for d in (*c.inputs, *c.outputs)), "rowMutationRules": any(r.get("type") in ("mergeCondition", "forbidUnconditionalDelete", "allowedUpdateColumns") for r in c.rules)}
-    return [f"{k}: {CAPABILITIES[k]}" for k, v in used.items() if v and CAPABILITIES[k] != "full"]
+    return [f"{k}: {why}" for k, why in shortfalls(c, options, least="partial")]
 
 
 def main(args: list[str] | None = None) -> int:
-    """python -m contractlens.services lint|policy|cross|merge|scan FILES"""
+    """python -m contractlens.services lint|policy|org-policy|cross|merge|scan FILES
+
+    org-policy checks the policy document --rules and lays it on the contracts; policy does so with a list of house rules.
+    """
     p = argparse.ArgumentParser(prog="contractlens")
-    p.add_argument("what", choices=["lint", "policy", "cross", "merge", "scan"])
+    p.add_argument("what", choices=["lint", "policy", "org-policy", "cross", "merge", "scan"])
     p.add_argument("files", nargs="+")
     p.add_argument("--rules", help="YAML list of organizational policies")
     a = p.parse_args(args)
@@ -164,7 +185,14 @@ def main(args: list[str] | None = None) -> int:
             print(to_yaml(merge_drafts(contracts)), end="")
             return 0
         if a.what == "lint":
-            found = [(c.id, *x) for c in contracts for x in validate(c)]
+            found = [(c.id, *x) for c, f in zip(contracts, a.files, strict=True) for x in [*validate(c), *(unknown_keys(open(f).read()) if os.path.exists(f) else [])]]
+        elif a.what == "org-policy":
+            policy = parse_policy(open(a.rules).read())
+            found = [("policy", *x) for x in validate_policy(policy)]
+            found += [("policy", "WARNING", f"exemption of {e.contract} lapses on {e.review_by}") for e in expiring(policy, 30)]
+            found += [(c.id, "ERROR" if x.mode == "enforce" else "WARNING", f"{x.rule}: {x.message}") for c in contracts for x in evaluate(c, policy)]
+            blocking = "ERROR" if policy.guarantee_mode == "enforce" else "WARNING"
+            found += [(where, blocking if verdict == "Contradicts" else "INFO", what) for _, where, verdict, what in guarantees(contracts, policy)]
         elif a.what == "cross":
             found = cross_contract(contracts)
         else:
@@ -174,7 +202,7 @@ def main(args: list[str] | None = None) -> int:
             found = [(c.id, *x) for c in contracts for x in policy_findings(c, rules)]
     for x in found:
         print(*x)
-    return int(any(a.what != "lint" or x[1] == "ERROR" for x in found))
+    return int(any(a.what not in ("lint", "org-policy") or x[1] == "ERROR" for x in found))
 
 
 if __name__ == "__main__":

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """State and results of a stream need a folder that the driver and all executors share."""
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; a local one only where none is set."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/')}/{name}-{uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix="contractlens-")
+    """A new folder in the shared one of the cluster; only where all runs in one process (master local, as in tests) may that be unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file:///tmp/contractlens-streams').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """See to it that checkpoint() has a folder; the one that is set stays."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder(spark, "checkpoints"))
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
