@@ -191,7 +191,8 @@ def _scenarios(spark, d):
         ("output-type-mismatch", "OUTPUT_FIELD_TYPE_MISMATCH", o.select("o_orderkey", F.col("o_totalprice").cast("string")), base, OUT),
         ("output-nullability-mismatch", "OUTPUT_FIELD_NULLABILITY_MISMATCH", ok, field("nullable: false"), OUT),
         ("undeclared-output-column-allowed-by-default", "pass", o, base, OUT),
-        ("undeclared-output-column-rejected", "UNDECLARED_OUTPUT_COLUMN", o.select("o_orderkey", "o_totalprice", "o_custkey"), base, OUT | {"rejectUndeclaredFields": True}),
+        # the input declares no fields here: with rejectUndeclaredFields its own undeclared columns would be findings too
+        ("undeclared-output-column-rejected", "UNDECLARED_OUTPUT_COLUMN", o.select("o_orderkey", "o_totalprice", "o_custkey"), base.replace(", schema: [{name: o_orderkey, type: long}]}", "}", 1), OUT | {"rejectUndeclaredFields": True}),
         ("declared-input-not-read", "MISSING_INPUT", c.select(F.col("c_custkey").alias("o_orderkey"), F.col("c_acctbal").alias("o_totalprice")), base, OUT),
         ("undeclared-input-rejected", "UNDECLARED_INPUT", join, base, OUT | {"rejectUndeclaredInputs": True}),
         ("derived-from-excuses-an-input-the-output-is-not-built-from", "pass", ok, two.replace("saveMode", "derivedFrom: [orders], saveMode"), OUT),
@@ -301,6 +302,30 @@ def stream_window_session(spark, d):
     return drain(g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
+@query("""SELECT CAST(s AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT date_trunc('day', ts) AS s FROM events)
+  WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY s""")
+def stream_window_append(spark, d):
+    """Append mode: a day's count comes out once, when the watermark, two days behind the latest event, has passed its end."""
+    g = _stream(spark, d).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return drain(g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "append")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    """The first event of each user and type; state is bounded by the keys."""
+    return drain(_stream(spark, d).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append")
+
+
+@query("""SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click'
+  AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR""")
+def stream_stream_join(spark, d):
+    """Purchases within six hours after a click of the same user: two streams, state on both sides bounded by watermarks and the range."""
+    clicks = _stream(spark, d).where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("cu"), F.col("ts").alias("ct")).withWatermark("ct", "1 day")
+    buys = _stream(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("pu"), F.col("ts").alias("pt")).withWatermark("pt", "1 day")
+    on = (F.col("cu") == F.col("pu")) & (F.col("pt") >= F.col("ct")) & (F.col("pt") <= F.col("ct") + F.expr("INTERVAL 6 HOURS"))
+    return drain(clicks.join(buys, on).select("click", "purchase"), "append")
+
+
 STREAM = """
 id: clicks
 inputs: []

@@ -106,15 +106,17 @@ def join_inner(spark, d):
 
 
 def _outer(spark, d, how):
-    a = t(spark, d, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_nationkey")
-    b = t(spark, d, "orders").where("o_custkey % 2 = 0").select("o_orderkey", "o_custkey")
-    return a.join(b, a.c_custkey == b.o_custkey, how)
+    """Whole tables; the condition itself leaves rows of both sides without a partner."""
+    a = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    b = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    on = (a.c_custkey == b.o_custkey) & (a.c_mktsegment == "BUILDING") & (b.o_orderstatus == "F")
+    return a.join(b, on, how).select("c_custkey", "c_nationkey", "o_orderkey", "o_custkey")
 
 
-OUTER = "FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0) {} JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = o_custkey"
+OUTER = "SELECT c_custkey, c_nationkey, o_orderkey, o_custkey FROM customer {} JOIN orders ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'"
 for _name, _how, _sql in (("join_left", "left", "LEFT"), ("join_right", "right", "RIGHT"), ("join_full", "full", "FULL")):
     QUERIES[_name] = lambda spark, d, how=_how: _outer(spark, d, how)
-    ORACLES[_name] = "SELECT * " + OUTER.format(_sql)
+    ORACLES[_name] = OUTER.format(_sql)
 for _name, _how, _sql in (("join_semi", "left_semi", ""), ("join_anti", "left_anti", "NOT")):
     QUERIES[_name] = lambda spark, d, how=_how: t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey")
     ORACLES[_name] = f"SELECT c_custkey FROM customer WHERE {_sql} EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
@@ -138,6 +140,16 @@ def join_multi_key(spark, d):
     return j.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum(net()), 2).alias("revenue"))
 
 
+@query("""SELECT a.l_partkey, a.l_suppkey, a.n AS shipped, b.n AS returned FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) a
+  JOIN (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey""")
+def join_composite_key(spark, d):
+    """Both sides are grouped by the two keys that they are joined on, so the join needs no shuffle of its own."""
+    li, keys = t(spark, d, "lineitem"), ["l_partkey", "l_suppkey"]
+    a = li.groupBy(*keys).agg(F.count("*").alias("shipped"))
+    b = li.where("l_returnflag = 'R'").groupBy(*keys).agg(F.count("*").alias("returned"))
+    return a.join(b, keys).select(*keys, "shipped", "returned")
+
+
 @query("SELECT n_nationkey, count(*) AS n FROM nation JOIN supplier ON s_acctbal BETWEEN n_nationkey * 300 AND n_nationkey * 300 + 300 GROUP BY n_nationkey")
 def join_theta_range(spark, d):
     # a range join as an equality on 300-wide bands; the upper bound also belongs to the band below
@@ -312,10 +324,11 @@ def explode_array(spark, d):
 def udf_tier(spark, d):
     """A Python function as an opaque operator, batched by Arrow."""
 
+    import numpy as np
     import pandas as pd
 
     def tier(v):
-        return v.map(lambda x: "high" if x >= 75 else "low")
+        return pd.Series(np.where(v >= 75, "high", "low"))
 
     tier.__annotations__ = {"v": pd.Series, "return": pd.Series}
     return t(spark, d, "events").select("event_id", F.pandas_udf(tier, "string")("value").alias("tier"))

@@ -129,30 +129,77 @@ def cross_contract(contracts: list[Contract]) -> list[tuple[str, str, str]]:
     return out
 
 
-#: Calls that reach data past the contract: code -> last parts of a called name.
+#: Calls that reach data past the contract: code -> functions by their full names (a star ends a beginning), and methods of frames.
 REACHES = {
-    "CL001 read": {"read_csv", "read_parquet", "read_json", "read_excel", "read_sql", "read_table", "read_feather", "read_orc", "scan_parquet", "scan_csv"},
-    "CL002 write": {"to_csv", "to_parquet", "to_json", "to_excel", "to_sql", "to_feather", "write_parquet", "write_csv", "write_table", "saveAsTable", "insertInto"},
-    "CL003 connect": {"connect", "create_engine"},
-    "CL004 sql": {"execute", "executemany"},
-    "CL005 process": {"system", "Popen", "check_call", "check_output"},
-    "CL006 dynamic": {"eval", "exec", "__import__", "import_module"},
+    "CL001 read": "pandas.read_* polars.read_* polars.scan_* pyarrow.parquet.read_* pyarrow.csv.read_* pyarrow.feather.read_* pyarrow.dataset.dataset duckdb.read_* numpy.load* io.open codecs.open gzip.open bz2.open lzma.open fileinput.input urllib.request.urlopen requests.get httpx.get".split(),
+    "CL002 write": "pyarrow.parquet.write_* pyarrow.csv.write_* pyarrow.feather.write_* pyarrow.dataset.write_* numpy.save* shutil.copy* shutil.move os.rename os.replace os.remove os.unlink shutil.rmtree requests.post requests.put httpx.post".split(),
+    "CL003 connect": "sqlite3.connect psycopg2.connect psycopg.connect pymysql.connect duckdb.connect sqlalchemy.create_engine pyodbc.connect snowflake.connector.connect boto3.client boto3.resource".split(),
+    "CL005 process": "os.system os.popen os.exec* os.spawn* subprocess.* multiprocessing.Process".split(),
+    "CL006 dynamic": "eval exec __import__ importlib.import_module runpy.*".split(),
 }
+METHODS = {
+    "CL001 read": "read_text read_bytes read_csv read_parquet read_json read_excel read_sql read_table read_feather read_orc scan_parquet scan_csv".split(),
+    "CL002 write": "to_csv to_parquet to_json to_excel to_sql to_feather to_pickle write_parquet write_csv write_table write_text write_bytes saveAsTable insertInto".split(),
+    "CL004 sql": "execute executemany executescript".split(),
+}
+
+
+class _Names(ast.NodeVisitor):
+    """What names stand for: imports with their aliases, and plain assignments of what they name."""
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+
+    def visit_Import(self, node):  # noqa: N802
+        for a in node.names:
+            self.known[a.asname or a.name.partition(".")[0]] = a.name if a.asname else a.name.partition(".")[0]
+
+    def visit_ImportFrom(self, node):  # noqa: N802
+        for a in node.names:
+            self.known[a.asname or a.name] = f"{node.module or ''}.{a.name}".lstrip(".")
+
+    def visit_Assign(self, node):  # noqa: N802
+        if (full := self.full(node.value)) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+            self.known[node.targets[0].id] = full
+        self.generic_visit(node)
+
+    def full(self, node) -> str | None:
+        """The full dotted name of an expression, or None where it is none."""
+        if isinstance(node, ast.Name):
+            return self.known.get(node.id, node.id)
+        if isinstance(node, ast.Attribute):
+            head = self.full(node.value)
+            return f"{head}.{node.attr}" if head else None
+        return None
+
+
+def _opened(node: ast.Call, at: int) -> str:
+    given = [a for a in [*node.args[at : at + 1], *(k.value for k in node.keywords if k.arg == "mode")] if isinstance(a, ast.Constant)]
+    return "CL002 write" if given and set(str(given[0].value)) & set("wax+") else "CL001 read"
+
+
+def _matches(name: str, pattern: str) -> bool:
+    return name.startswith(pattern[:-1]) if pattern.endswith("*") else name == pattern
 
 
 def scan_code(source: str) -> list[tuple[int, str, str]]:
-    """(line, code, call) of data access that goes round the contract; open() counts by its mode."""
-    out = []
-    for node in ast.walk(ast.parse(source)):
+    """(line, code, call) of data access that goes round the contract; names are followed through imports and assignments."""
+    tree, names, out = ast.parse(source), _Names(), []
+    names.visit(tree)
+    for node in ast.walk(tree):
         if not isinstance(node, ast.Call):
             continue
-        f = node.func
-        name = f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else ""
-        if name == "open" and isinstance(f, ast.Name):
-            given = [a for a in [*node.args[1:2], *(k.value for k in node.keywords if k.arg == "mode")] if isinstance(a, ast.Constant)]
-            writes = bool(given) and set(str(given[0].value)) & set("wax+")
-            out.append((node.lineno, "CL002 write" if writes else "CL001 read", "open"))
-        out += [(node.lineno, code, name) for code, names in REACHES.items() if name in names]
+        f, full = node.func, names.full(node.func) or ""
+        last = f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else ""
+        root = full.partition(".")[0]
+        if full == "open" or full.removeprefix("builtins.") == "open":
+            out.append((node.lineno, _opened(node, 1), last))
+        elif codes := [c for c, patterns in REACHES.items() if any(_matches(full, p) for p in patterns)]:
+            out.append((node.lineno, codes[0], last))
+        elif isinstance(f, ast.Attribute) and f.attr == "open" and root == "pathlib":
+            out.append((node.lineno, _opened(node, 0), last))
+        elif isinstance(f, ast.Attribute) and root not in ("self", "run") and (codes := [c for c, methods in METHODS.items() if last in methods]):
+            out.append((node.lineno, codes[0], last))
     return sorted(out)
 
 

@@ -53,3 +53,26 @@ def test_settings_and_capabilities(spark):
     assert services.setting(spark, "dryRun", {"CONTRACTLENS_DRY_RUN": "true"}) == "false"
     spark.conf.unset("spark.contractlens.dryRun")
     assert services.unsupported(contract.parse(A)) == [] and services.unsupported(contract.parse(A + "rules: [{type: mergeCondition, columns: [x]}]"))
+
+
+def test_the_scan_follows_names():
+    code = """
+import pandas
+from pyarrow import parquet as pq
+import subprocess as sp
+from sqlite3 import connect as join
+load = pandas.read_csv
+load('a')
+pq.write_table(t, 'b')
+sp.run(['ls'])
+join('c.db').execute('select 1')
+self.read_csv('d')
+read_csv('e')
+import pathlib
+pathlib.Path('f').write_text('g')
+df.to_parquet('h')
+client.connect('i')
+open('j', mode='a')
+"""
+    assert [(line, kind.partition(" ")[2]) for line, kind, _ in services.scan_code(code)] == [(7, "read"), (8, "write"), (9, "process"), (10, "connect"), (10, "sql"), (14, "write"), (15, "write"), (17, "write")]
+    assert [v.type for v in services.ungoverned("open('a')\nopen('b')  # contractlens: allow a log\n", "x.py")] == ["UNGOVERNED_DATA_ACCESS"]
