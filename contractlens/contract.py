@@ -376,7 +376,8 @@ def unknown_keys(text: str) -> list[tuple[str, str]]:
 
 
 def _repeated(names) -> list[str]:
-    return sorted(n for n, k in Counter(names).items() if k > 1)
+    names = list(names)
+    return [] if len(set(names)) == len(names) else sorted(n for n, k in Counter(names).items() if k > 1)
 
 
 def _number(x) -> bool:
@@ -658,39 +659,53 @@ def type_matches(declared: str, actual: str) -> bool:
 # --- compatibility, drafts
 
 
+def _tightened(at: str, what: str, before, after) -> list[tuple[str, str]]:
+    """What is newly asked for, or asked for differently, breaks; what is asked for no more does not."""
+    return [("BREAKING", f"{at}: {what} changed")] if after not in (None, [], {}) and before != after else []
+
+
+def _schema_changes(at: str, old: tuple, new: tuple, prefix: str = "") -> list[tuple[str, str]]:
+    a, b, out = {f.name: f for f in old}, {f.name: f for f in new}, []
+    out += [("BREAKING", f"{at}: field {prefix}{n} removed") for n in sorted(a.keys() - b.keys())]
+    out += [("BREAKING" if b[n].required else "MINOR", f"{at}: field {prefix}{n} added") for n in sorted(b.keys() - a.keys())]
+    for n in sorted(a.keys() & b.keys()):
+        x, y = a[n], b[n]
+        if parse_type(x.type) != parse_type(y.type):
+            out.append(("BREAKING", f"{at}: type of {prefix}{n} changed"))
+        if y.required and not x.required:
+            out.append(("BREAKING", f"{at}: {prefix}{n} is now required"))
+        if x.nullable and not y.nullable:
+            out.append(("BREAKING", f"{at}: {prefix}{n} is now not nullable"))
+        out += _schema_changes(at, x.properties, y.properties, f"{prefix}{n}.")
+    return out
+
+
 def changes(old: Contract, new: Contract) -> list[tuple[str, str]]:
-    """(BREAKING, MINOR or PATCH, what) of every change between two versions."""
-    out = []
-    for side in ("inputs", "outputs"):
+    """(BREAKING or MINOR, what) of every change between two versions that a producer or reader can notice; others need a PATCH at most."""
+    out = [("BREAKING", f"id changed from {old.id} to {new.id}")] if old.id != new.id else []
+    for side in ("outputs", "inputs"):
         a, b = ({d.name: d for d in getattr(c, side)} for c in (old, new))
         kind = side[:-1]
         out += [("BREAKING", f"{kind} {n} removed") for n in sorted(a.keys() - b.keys())]
-        out += [("BREAKING" if side == "inputs" else "MINOR", f"{kind} {n} added") for n in sorted(b.keys() - a.keys())]
+        out += [("MINOR", f"{kind} {n} added") for n in sorted(b.keys() - a.keys())]
         for n in sorted(a.keys() & b.keys()):
-            x, y = a[n], b[n]
-            out += [("BREAKING", f"{kind} {n}: {what} changed") for what in ("location", "format", "save_mode", "overwrite") if getattr(x, what) != getattr(y, what)]
-            fx, fy = {f.name: f for f in x.schema}, {f.name: f for f in y.schema}
-            out += [("BREAKING" if side == "outputs" else "MINOR", f"{kind} {n}: field {f} removed") for f in sorted(fx.keys() - fy.keys())]
-            out += [("BREAKING" if side == "inputs" and fy[f].required else "MINOR", f"{kind} {n}: field {f} added") for f in sorted(fy.keys() - fx.keys())]
-            for f in sorted(fx.keys() & fy.keys()):
-                p, q = fx[f], fy[f]
-                if parse_type(p.type) != parse_type(q.type):
-                    out.append(("BREAKING", f"{kind} {n}: type of {f} changed"))
-                if p.nullable != q.nullable:
-                    wider = q.nullable and not p.nullable
-                    out.append(("BREAKING" if wider == (side == "outputs") else "MINOR", f"{kind} {n}: {f} is now {'nullable' if q.nullable else 'not nullable'}"))
-                if set(p.constraints_key()) != set(q.constraints_key()):
-                    out.append(("MINOR" if set(q.constraints_key()) > set(p.constraints_key()) and side == "outputs" else "BREAKING", f"{kind} {n}: constraints of {f} changed"))
-                if p.tags != q.tags:
-                    out.append(("PATCH", f"{kind} {n}: tags of {f} changed"))
-    if old.rules != new.rules:
-        out.append(("MINOR", "rules changed"))
+            x, y, at = a[n], b[n], f"{kind} {n}"
+            out += [("BREAKING", f"{at}: location changed")] if x.location != y.location else []
+            for what in ("format", "save_mode", "overwrite"):
+                out += _tightened(at, what, getattr(x, what), getattr(y, what))
+            asked = lambda d: d.catalog if d.catalog.get("required") else None
+            out += _tightened(at, "catalog", asked(x), asked(y)) + _tightened(at, "partition keys", x.partition_keys, y.partition_keys)
+            for option in CSV_OPTIONS:
+                out += _tightened(at, f"csv {option}", x.csv.get(option), y.csv.get(option))
+            out += _schema_changes(at, x.schema, y.schema)
+    after = {d.name: d for d in new.outputs}
+    for x in sorted(old.outputs, key=lambda d: d.name):
+        y = after.get(x.name)
+        if y and (x.derived_from, y.derived_from) != (None, None) and {d.name for d in old.inputs_of(x)} != {d.name for d in new.inputs_of(y)}:
+            out.append(("BREAKING", f"output {x.name}: derivedFrom changed"))
     return out
 
 
-Field.constraints_key = lambda self: [(c.kind, repr(sorted(c.spec.items()))) for c in self.constraints]
-
-
 def bump_ok(old: Contract, new: Contract) -> bool:
     """Whether the new version number is high enough for the changes."""
     a, b = (tuple(map(int, c.version.split("."))) for c in (old, new))

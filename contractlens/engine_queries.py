@@ -245,7 +245,7 @@ def scenario_verdicts(spark, d):
 @query(values("kind, change", [("BREAKING", "output out: field o_totalprice removed"), ("MINOR", "output out: field note added"), ("BREAKING", "output out: save_mode changed")]))
 def compatibility_changes(spark, d):
     old = contract.parse(BASE.replace("DIR", d))
-    new = contract.parse(BASE.replace("DIR", d).replace("o_totalprice, type: double", "note, type: string").replace("overwrite", "append"))
+    new = contract.parse(BASE.replace("DIR", d).replace("o_totalprice, type: double", "note, type: string, required: false").replace("overwrite", "append"))
     return frame(spark, "kind, change", contract.changes(old, new))
 
 
