@@ -375,6 +375,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: i
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = covered(docs, window, gram, hot_rows)
     keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
     keys = spans.select("k1", "k2")

@@ -7,7 +7,7 @@ the votes is fitted to the posteriors. Training takes at most TRAIN_ROWS labelle
 HELD_OUT; labels, lang, source and doc_id are never inputs of a score.
 
 Rules for odd input: a null or empty text gets the score of a document without votes; a null label or id is not used for training;
-without any labelled rows of both classes every score is the prior; repeated rows score alike; an empty table gives an empty result.
+without labelled rows of both classes every score is the share of toxic ones, a half at most, so that nothing is rejected; repeated rows score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[d
         rows = have.mapInArrow(tidied(_hashed), "f array<long>, y int, o long, t long").orderBy("o", "t", "y").limit(most).toArrow()
     y = rows.column("y").to_numpy()
     if len(y) == 0 or y.min() == y.max():
-        prior = (y.sum() + 1) / (len(y) + 2)
+        prior = min(0.5, (y.sum() + 1) / (len(y) + 2))
         return {}, float(np.log(prior / (1 - prior)))
     lists = rows.column("f").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
