@@ -334,6 +334,30 @@ def udf_tier(spark, d):
     return t(spark, d, "events").select("event_id", F.pandas_udf(tier, "string")("value").alias("tier"))
 
 
+@query("SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS part FROM nation")
+def udtf_parts(spark, d):
+    """A Python table function as an opaque generator, one call a row."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="part string")
+    class Parts:
+        def eval(self, text: str):
+            for x in (text or "").split(" "):
+                yield (x,)
+
+    return t(spark, d, "nation").lateralJoin(Parts(F.col("n_name").outer())).select("n_nationkey", "part")
+
+
+@query("""SELECT 'orders read' AS step, count(*) AS rows FROM orders UNION ALL SELECT 'orders kept', count(*) FILTER (o_orderstatus = 'F') FROM orders
+  UNION ALL SELECT 'customers read', count(*) FROM customer UNION ALL SELECT 'regions written', count(DISTINCT n_name) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'""")
+def job_audit(spark, d):
+    """What the flagship job would note of a run: rows read, kept and written, by one aggregation of each table."""
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    step = lambda name, df, what: df.agg(what.alias("rows")).select(F.lit(name).alias("step"), "rows")
+    out = step("orders read", o, F.count("*")).unionByName(step("orders kept", o, F.count_if(F.col("o_orderstatus") == "F")))
+    return out.unionByName(step("customers read", c, F.count("*"))).unionByName(step("regions written", flagship_revenue_by_nation(spark, d), F.count("*")))
+
+
 @query("SELECT event_type, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def pandas_udf_agg(spark, d):
     import pandas as pd

@@ -215,15 +215,24 @@ def unsupported(c: Contract, options: dict | None = None) -> list[str]:
 
 
 def main(args: list[str] | None = None) -> int:
-    """python -m contractlens.services lint|policy|org-policy|cross|merge|scan FILES
+    """python -m contractlens.services lint|policy|org-policy|cross|merge|scan|check|report FILES
 
-    org-policy checks the policy document --rules and lays it on the contracts; policy does so with a list of house rules.
+    check answers the requests of protocol.py, a line each; report makes a page of event files. org-policy checks the policy document --rules and lays it on the contracts; policy does so with a list of house rules.
     """
     p = argparse.ArgumentParser(prog="contractlens")
-    p.add_argument("what", choices=["lint", "policy", "org-policy", "cross", "merge", "scan"])
+    p.add_argument("what", choices=["lint", "policy", "org-policy", "cross", "merge", "scan", "check", "report"])
     p.add_argument("files", nargs="+")
     p.add_argument("--rules", help="YAML list of organizational policies")
     a = p.parse_args(args)
+    if a.what in ("check", "report"):
+        from . import protocol, report
+
+        lines = [line for f in a.files for line in (sys.stdin if f == "-" else open(f))]
+        if a.what == "check":
+            protocol.serve(lines, sys.stdout)
+        else:
+            print(report.page(report.events_of(lines)))
+        return 0
     if a.what == "scan":
         found = [(f, *x) for f in a.files for x in scan_code(open(f).read())]
     else:

@@ -53,11 +53,29 @@ def _by_pandas(spark: SparkSession, location: str, f: str) -> DataFrame:
 def write(df: DataFrame, d: Dataset, location: str | None = None, mode: str | None = None) -> None:
     """df in the declared format, layout, partitioning and mode."""
     f = d.format or "parquet"
+    if f == "feather":
+        return _feather(df, location or d.location, mode or d.save_mode or "error")
     w = df.write.format(f).mode(mode or d.save_mode or "error")
     for k, v in d.csv.items():
         w = w.option({"delimiter": "sep"}.get(k, k), str(v).lower() if isinstance(v, bool) else v)
     if d.overwrite:
         w = w.option("partitionOverwriteMode", d.overwrite)
-    keys = [x.name for x in sorted((x for x in d.schema if x.partitioned), key=lambda x: (x.position is None, x.position or 0))]
+    keys = d.partition_keys
     w = w.partitionBy(*keys) if keys else w
     w.saveAsTable(location or d.location) if f in ("table", "hive") else w.save(location or d.location)
+
+
+def _feather(df: DataFrame, location: str, mode: str) -> None:
+    """One file of a desktop format, by way of the driver: for results that fit there."""
+    import os
+
+    import pyarrow.feather as feather
+
+    path = location.removeprefix("file:")
+    if mode == "append":
+        raise NoConnector("a feather file cannot be appended to")
+    if os.path.exists(path) and mode in ("error", "ignore"):
+        if mode == "error":
+            raise FileExistsError(path)
+        return
+    feather.write_feather(df.toArrow(), path)
