@@ -70,11 +70,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. Python gets BATCH_BYTES at a time at most."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back. Python gets BATCH_BYTES at a time at most.
+
+    The table is deleted by drop(), or else when the driver ends, as a result may be read until then.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     with batches(spark):
         df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out

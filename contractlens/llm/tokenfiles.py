@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from itertools import repeat
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,!?;:"
 BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 #: Pieces of which a process keeps the ids, bytes of texts encoded together, bytes of text aimed at in a file.
-KNOWN, AT_ONCE, FILE_BYTES = 400_000, 4 << 20, 128 << 20
+KNOWN, AT_ONCE, FILE_BYTES = 500_000, 2 << 20, 128 << 20
 
 
 class Encoder:
@@ -48,7 +48,7 @@ class Encoder:
         for piece, i in pieces.items():
             self.ends[i] = piece.endswith("</w>")
         self.rows: dict[str, int] = {"": 0}
-        self.start, self.size, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.start, self.size, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32)
         self.ids = np.empty(0, self.kind)
 
     def _gather(self, rows):
@@ -57,8 +57,10 @@ class Encoder:
 
         size = self.size[rows]
         last = np.cumsum(size)
-        at = np.repeat(self.start[rows] - (last - size), size)
-        at += np.arange(len(at))
+        total = int(last[-1]) if len(last) else 0
+        kind = np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64
+        at = np.repeat((self.start[rows] - (last - size)).astype(kind), size)
+        at += np.arange(total, dtype=kind)
         return self.ids[at], size
 
     def _add(self, pieces: list[str], ids, size) -> None:
@@ -67,8 +69,8 @@ class Encoder:
         n = len(self.rows)
         self.rows.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int64)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int32)])
         self.ids = np.concatenate([self.ids, ids])
 
     def _words(self, words: list[str]) -> None:
@@ -96,7 +98,7 @@ class Encoder:
 
         if pieces:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            flat = np.fromiter((x for i in ids for x in i), self.kind)
+            flat = np.fromiter(chain.from_iterable(ids), self.kind)
             self._add(pieces, flat, np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self, pieces: list[str]) -> None:
@@ -124,7 +126,7 @@ class Encoder:
         ids, size = self._gather(kept)
         kept_names = [names[i] for i in kept.tolist()]
         self.rows = {"": 0}
-        self.start, self.size, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.start, self.size, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32)
         self.ids = np.empty(0, self.kind)
         full = kept != 0  # row 0 is the empty piece, which stays first
         self._add([x for x in kept_names if x], ids, size[full])
@@ -146,11 +148,11 @@ class Encoder:
         split = pc.ascii_split_whitespace(small)
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        rows = np.fromiter(map(self.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        rows = np.fromiter(map(self.rows.get, pieces, repeat(-1)), np.int32, len(pieces))
         if len(new := np.flatnonzero(rows < 0)):
             fresh = [pieces[i] for i in new.tolist()]
             self._learn(fresh)
-            rows[new] = np.fromiter(map(self.rows.__getitem__, fresh), np.int64, len(fresh))
+            rows[new] = np.fromiter(map(self.rows.__getitem__, fresh), np.int32, len(fresh))
         self.hits[rows] += 1
         ids, size = self._gather(rows[coded.indices.to_numpy()])
         last = np.concatenate([[0], np.cumsum(size)])
