@@ -53,10 +53,20 @@ def release() -> None:
         pass
 
 
+#: What the functions of a module keep from task to task in a worker, by module: it goes when a task of another module begins.
+KEPT: dict[str, dict] = {}
+
+
+def forget_others(module: str) -> None:
+    for other in [m for m in KEPT if m != module]:
+        del KEPT[other]
+
+
 def tidied(f, **given):
-    """f over the batches of a task, with its memory released when the task ends."""
+    """f over the batches of a task, with what others kept gone and its memory released when the task ends."""
 
     def run(batches):
+        forget_others(f.__module__)
         try:
             yield from f(batches, **given)
         finally:

@@ -18,7 +18,7 @@ from itertools import chain, repeat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, new_path, table, tidied
+from .common import KEPT, batches, new_path, table, tidied
 
 LENGTH, BATCH, END = 2048, 256, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,!?;:"
 BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 #: Pieces of which a process keeps the ids, bytes of texts encoded together, bytes of text aimed at in a file.
-KNOWN, AT_ONCE, FILE_BYTES = 500_000, 2 << 20, 128 << 20
+KNOWN, AT_ONCE, FILE_BYTES = 700_000, 4 << 20, 128 << 20
 
 
 class Encoder:
@@ -159,10 +159,6 @@ class Encoder:
         return ids, np.diff(last[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
-#: Encoders of this process by path, so that the tasks of one worker share what they have learned.
-ENCODERS: dict[str, Encoder] = {}
-
-
 def _open(path: str, mode: str):
     from pyarrow import fs
 
@@ -193,9 +189,8 @@ def _write(batches, folder, vocabulary, length, end):
     from pyspark import TaskContext
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if vocabulary not in ENCODERS:
-        ENCODERS[vocabulary] = Encoder(vocabulary)
-    encode = ENCODERS[vocabulary]
+    encoders = KEPT.setdefault(__name__, {})  # the tasks of one worker share what they have learned
+    encode = encoders[vocabulary] = encoders.get(vocabulary) or Encoder(vocabulary)
     kind = encode.kind
     part = TaskContext.get().partitionId()
     name = f"{folder}/{part:06d}-{uuid.uuid4().hex}"

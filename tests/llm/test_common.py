@@ -1,6 +1,9 @@
 import random
 
-from contractlens.llm.common import components
+import pyarrow as pa
+
+from contractlens.llm import common
+from contractlens.llm.common import components, tidied
 
 
 def test_components_by_either_way(spark):
@@ -16,3 +19,17 @@ def test_components_by_either_way(spark):
         rows = components(df, "t", bound).collect()
         assert {r.node: r.comp for r in rows} == {x: c for x, c in comp.items() if x in linked} and len(rows) == len(linked)
     assert components(df.limit(0), "t").count() == 0
+
+
+def _counting(batches):
+    kept = common.KEPT.setdefault(__name__, {"n": 0})
+    for b in batches:
+        kept["n"] += b.num_rows
+        yield pa.RecordBatch.from_pydict({"modules": [",".join(sorted(common.KEPT))]})
+
+
+def test_a_task_of_another_module_clears_what_was_kept():
+    common.KEPT["elsewhere"] = {"much": 1}
+    assert [b.to_pydict() for b in tidied(_counting)([pa.RecordBatch.from_pydict({"x": [1, 2]})])] == [{"modules": [__name__]}]
+    assert common.KEPT[__name__]["n"] == 2
+    common.KEPT.clear()
