@@ -18,7 +18,7 @@ from itertools import chain, repeat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEPT, batches, new_path, table, tidied
+from .common import KEPT, batches, new_path, release, table, tidied
 
 LENGTH, BATCH, END = 2048, 256, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 MARKS = ".,!?;:"
 BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 #: Pieces of which a process keeps the ids, bytes of texts encoded together, bytes of text aimed at in a file.
-KNOWN, AT_ONCE, FILE_BYTES = 700_000, 4 << 20, 128 << 20
+KNOWN, AT_ONCE, FILE_BYTES = 400_000, 4 << 20, 128 << 20
 
 
 class Encoder:
@@ -224,6 +224,7 @@ def _write(batches, folder, vocabulary, length, end):
             while len(rest) >= length * BATCH:
                 put(rest[: length * BATCH], np.ones(length * BATCH, bool))
                 rest = rest[length * BATCH :]
+            release()  # what a piece needed is many times its text
     if files:
         if len(rest):
             rows = -(-len(rest) // length)
