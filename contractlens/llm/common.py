@@ -38,14 +38,18 @@ def batches(spark: SparkSession, size: int = BATCH_BYTES):
         spark.conf.set(key, before)
 
 
-def release() -> None:
-    """Give freed memory back to the system: a worker lives on after its task, and its memory counts beside the next one's."""
+def release(cycles: bool = True) -> None:
+    """Give freed memory back to the system: a worker lives on after its task, and its memory counts beside the next one's.
+
+    cycles: look for what only refers to itself as well, which takes longer.
+    """
     import ctypes
     import gc
 
     import pyarrow as pa
 
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

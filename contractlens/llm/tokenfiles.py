@@ -224,7 +224,7 @@ def _write(batches, folder, vocabulary, length, end):
             while len(rest) >= length * BATCH:
                 put(rest[: length * BATCH], np.ones(length * BATCH, bool))
                 rest = rest[length * BATCH :]
-            release()  # what a piece needed is many times its text
+            release(cycles=False)  # what a piece needed is many times its text
     if files:
         if len(rest):
             rows = -(-len(rest) // length)
